@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import sharding, token_rollups, url_filters
+from clausewright.llm import fingerprints, sharding, token_rollups, url_filters
 from clausewright.llm.durable import durable
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bottom-k sketch, its edited text's, and both likenesses."""
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7, sizes near equal."""
     placed = sharding.shard_rows(_table(spark, sf_dir, "documents"), 8)
@@ -56,6 +61,7 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
     "op6_token_rollups": op6_token_rollups,
