@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import fingerprints, sharding, token_rollups, url_filters
+from clausewright.llm import bpe, fingerprints, sharding, token_rollups, url_filters
 from clausewright.llm.durable import durable
 
 
@@ -60,10 +60,26 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the multilingual ranks and decoded again."""
+    import public_tokenizers
+
+    coded = bpe.encode(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True
+    )
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
+    "op10_byte_bpe": op10_byte_bpe,
     "op6_token_rollups": op6_token_rollups,
 }
 
