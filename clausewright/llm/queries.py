@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, fingerprints, sharding, token_rollups, url_filters
+from clausewright.llm import bpe, fingerprints, secret_scan, sharding, token_rollups, url_filters
 from clausewright.llm.durable import durable
 
 
@@ -60,6 +60,20 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts by pattern and all spans."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secret_scan.told(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.told(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the multilingual ranks and decoded again."""
     import public_tokenizers
@@ -79,6 +93,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
+    "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
     "op6_token_rollups": op6_token_rollups,
 }
