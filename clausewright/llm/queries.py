@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, fingerprints, secret_scan, sharding, token_rollups, url_filters
+from clausewright.llm import bpe, fingerprints, packing, secret_scan, sharding, token_rollups, url_filters
 from clausewright.llm.durable import durable
 
 
@@ -60,6 +60,19 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents, packed; the digest form of the packing operator."""
+    import public_tokenizers
+
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: counts by pattern and all spans."""
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -93,6 +106,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
+    "op7_packing": op7_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
     "op6_token_rollups": op6_token_rollups,
