@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, fingerprints, packing, secret_scan, sharding, token_rollups, url_filters
+from clausewright.llm import bpe, fingerprints, packing, quality, secret_scan, sharding, token_rollups, url_filters
 from clausewright.llm.durable import durable
 
 
@@ -73,6 +73,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model | None:
+    """The classifier, from labelled rows outside the held-out fold."""
+    return quality.train(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: counts by pattern and all spans."""
     found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -107,6 +119,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
     "op6_token_rollups": op6_token_rollups,
