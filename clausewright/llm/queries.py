@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, fingerprints, packing, quality, secret_scan, sharding, token_rollups, url_filters
+from clausewright.llm import bpe, fingerprints, neighbours, packing, quality, secret_scan, sharding, token_rollups, url_filters
 from clausewright.llm.durable import durable
 
 
@@ -60,6 +60,11 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of all documents, packed; the digest form of the packing operator."""
     import public_tokenizers
@@ -118,6 +123,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
+    "op5_neighbours": op5_neighbours,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_secret_scan": op9_secret_scan,
