@@ -103,10 +103,12 @@ def random_samples(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def document_samples(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct words of SAMPLE_DOCUMENTS documents: random where a pattern found
+    """Distinct words of SAMPLE_DOCUMENTS documents, chosen by id: random where a pattern found
     them, ordinary where RECURS different texts hold them, else left out, as what
     stands in one text alone may be a secret that no pattern knows."""
-    chosen = df.select(id_col, F.col(text_col).alias("_text")).orderBy(F.xxhash64(id_col, F.lit("secret samples")), F.xxhash64("_text")).limit(SAMPLE_DOCUMENTS)
+    order = F.xxhash64(id_col, F.lit("secret samples"))
+    last = df.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
+    chosen = df.select(F.col(text_col).alias("_text")).filter(order <= F.lit(last))
     spans = with_pattern_spans(chosen.select("_text"), "_text")
     inside = F.array_join(F.transform("_base", lambda s: F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"])), " ")
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), ACCESS, " "), HEX, " ")
