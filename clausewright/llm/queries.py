@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.llm import bpe, fingerprints, neighbours, packing, quality, secret_scan, sharding, token_rollups, url_filters
+from clausewright.llm import bpe, fingerprints, neighbours, ngram_join, packing, quality, secret_scan, sharding, token_rollups, url_filters
 from clausewright.llm.durable import durable
 
 
@@ -60,6 +60,11 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles are 85 % alike."""
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), size=4, share=85)
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 100."""
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -123,6 +128,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_url_filters": op3_url_filters,
+    "op4_ngram_join": op4_ngram_join,
     "op5_neighbours": op5_neighbours,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
