@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from clausewright import queries_segmentation
+
 FLAGSHIP = "segmented_clauses"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = {**queries_segmentation.QUERIES}
+ORACLES = {**queries_segmentation.ORACLES}
