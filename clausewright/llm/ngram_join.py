@@ -50,6 +50,8 @@ COUNTED_SHINGLES = 3_000_000
 FREQUENT_IN_PART = 3
 #: Rounds of stars go on while they at least halve the pairs left to try.
 STAR_ROUNDS = 4
+#: A node tries a star with which it shares this many hundredths of its prefix.
+STAR_SHARE = 30
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -184,6 +186,7 @@ def _entries(prefixes: DataFrame, share: int) -> DataFrame:
     only are left out, as they can match nothing."""
     nodes = prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = durable(nodes, "nodes")
+    discard(nodes.sparkSession, prefixes)
     first = F.col("n") - F.ceil(F.col("n") * share / 100).cast("int")
     told = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("level", F.greatest(F.lit(1), F.col("pos") - first + 1)).drop("pos")
     counts = told.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -193,16 +196,25 @@ def _entries(prefixes: DataFrame, share: int) -> DataFrame:
     costs = F.array(*[F.struct((hits[m] * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in MATCHES])
     allowed = F.filter(costs, lambda c: (c["m"] == 1) | (c["m"] <= F.ceil(F.col("n") * share / 100)))
     chosen = met.withColumns({"m": F.array_min(allowed)["m"], "shared": hits[1]})
-    return chosen.filter("level <= m").select("token", "node", "n", "level", "m", "shared")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Those pairs (a, b) whose sets' likeness is at least share hundredths."""
+    entries = durable(chosen.filter("level <= m").select("token", "node", "n", "level", "m", "shared"), "entries")
+    discard(nodes.sparkSession, nodes)
+    return entries
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, size: int, share: int) -> DataFrame:
+    """Those pairs (a, b) whose sets' likeness is at least share hundredths. Only sets
+    that occur in pairs are built, and they go when the links are written."""
+    spark = docs.sparkSession
+    pairs = durable(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = durable(_sets_of(docs, least.join(nodes, "node", "left_semi"), size), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= share * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    links = durable(both.filter(100 * shared >= share * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
+    discard(spark, pairs, sets)
+    return links
 
 
 def _sets_of(df: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -224,9 +236,7 @@ def _sets_of(df: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return chosen.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _with_component(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return entries.withColumn("label", F.col("node"))
+def _with_component(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -238,8 +248,9 @@ def _star_pairs(entries: DataFrame, share: int, turn: int) -> DataFrame:
     stars = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(F.struct("node", "n", "label"), F.struct(rank, F.col("node"))).alias("star"))
     mixed = stars.filter("low <> high").select("token", "star")
     met = entries.join(mixed, "token").filter(F.expr("star.label <> label") & F.expr(f"100 * least(n, star.n) >= {share} * greatest(n, star.n)"))
-    counted = met.groupBy("node", F.col("star.node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    counted = met.groupBy("node", F.col("star.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("n").alias("size"))
+    likely = counted.filter(F.col("n") * 100 >= STAR_SHARE * (F.col("size") - F.ceil(F.col("size") * share / 100) + 1))
+    return likely.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("n", "b")).alias("b"))
 
 
 def _cross_pairs(entries: DataFrame, share: int) -> DataFrame:
@@ -269,27 +280,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     counted = durable(_sets_and_counts(docs, size), "shingle-counts")
     rows = counted.filter("token is null")
-    least = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+    least = durable(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")), "least")
     prefixes = durable(_prefixes(docs, size, share, _frequent(counted)), "prefixes")
-    entries = durable(_entries(prefixes, share), "entries")
-    discard(spark, prefixes)
-    wanted = least.join(entries.select("node").distinct(), "node", "left_semi")
-    sets = durable(_sets_of(docs, wanted, size), "sets")
-
-    links, labels, left = None, None, entries.withColumn("label", F.col("node"))
+    entries = _entries(prefixes, share)
+    links, left = None, entries.withColumn("label", F.col("node"))
     left, n_left, pairs = _open_buckets(left)
+    discard(spark, entries)
     for turn in range(STAR_ROUNDS):
         if pairs <= 2 * n_left:
             break
-        found = durable(_verified(_star_pairs(left, share, turn), sets, share), "star-links")
+        found = _verified(_star_pairs(left, share, turn), docs, least, size, share)
         links = found if links is None else links.union(found)
-        labels = connected_components(links)
-        fresh, n_fresh, pairs_now = _open_buckets(_with_component(left.drop("label"), labels))
+        fresh, n_fresh, pairs_now = _open_buckets(_with_component(left.drop("label"), connected_components(links)))
+        discard(spark, left)
         done = pairs_now * 2 > pairs
         left, n_left, pairs = fresh, n_fresh, pairs_now
         if done:
             break
-    last = durable(_verified(durable(_cross_pairs(left, share), "cross-pairs"), sets, share), "cross-links")
+    last = _verified(_cross_pairs(left, share), docs, least, size, share)
     labels = connected_components(last if links is None else links.union(last))
 
     placed = durable(least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "node-labels")
