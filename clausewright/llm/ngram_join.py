@@ -181,14 +181,14 @@ def _frequent(counted: DataFrame) -> np.ndarray:
 
 
 def _entries(prefixes: DataFrame, share: int) -> DataFrame:
-    """token, node, n, level (least m whose prefix holds the token), m (what the node
+    """token, node, n, pos (place in the order), level (least m whose prefix holds the token), m (what the node
     asks for), shared (other nodes met in its shortest prefix). Tokens of one node
     only are left out, as they can match nothing."""
     nodes = prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = durable(nodes, "nodes")
     discard(nodes.sparkSession, prefixes)
     first = F.col("n") - F.ceil(F.col("n") * share / 100).cast("int")
-    told = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("level", F.greatest(F.lit(1), F.col("pos") - first + 1)).drop("pos")
+    told = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("level", F.greatest(F.lit(1), F.col("pos") - first + 1))
     counts = told.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = told.join(counts, "token")
     mine = Window.partitionBy("node")
@@ -196,7 +196,7 @@ def _entries(prefixes: DataFrame, share: int) -> DataFrame:
     costs = F.array(*[F.struct((hits[m] * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in MATCHES])
     allowed = F.filter(costs, lambda c: (c["m"] == 1) | (c["m"] <= F.ceil(F.col("n") * share / 100)))
     chosen = met.withColumns({"m": F.array_min(allowed)["m"], "shared": hits[1]})
-    entries = durable(chosen.filter("level <= m").select("token", "node", "n", "level", "m", "shared"), "entries")
+    entries = durable(chosen.filter("level <= m").select("token", "node", "n", "pos", "level", "m", "shared"), "entries")
     discard(nodes.sparkSession, nodes)
     return entries
 
@@ -254,13 +254,23 @@ def _star_pairs(entries: DataFrame, share: int, turn: int) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, share: int) -> DataFrame:
-    """Pairs in different components that pass the length and multi-match filters."""
-    a = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "level", "m", "label")])
-    b = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "level", "m", "label")])
-    fits = F.expr(f"node_a < node_b and label_a <> label_b and 100 * least(n_a, n_b) >= {share} * greatest(n_a, n_b) and greatest(level_a, level_b) <= least(m_a, m_b)")
-    met = a.join(b, "token").filter(fits)
-    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("m_a", "m_b")).alias("m"))
-    return counted.filter("n >= m").select("a", "b")
+    """Pairs in different components that pass the length, multi-match and positional
+    filters. Behind its last shared prefix shingle a pair shares at most what is left
+    of the shorter rest; before it, just the shared ones seen, as the order is one."""
+    names = ("node", "n", "pos", "level", "m", "label")
+    a = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
+    rest = "least(n_a - 1 - pos_a, n_b - 1 - pos_b)"
+    enough = f"{100 + share} * ({{}} + {{}}) >= {share} * (n_a + n_b)"
+    fits = (
+        f"node_a < node_b and label_a <> label_b and 100 * least(n_a, n_b) >= {share} * greatest(n_a, n_b) and greatest(level_a, level_b) <= least(m_a, m_b)"
+        f" and {enough.format('least(pos_a, pos_b) + 1', rest)}"
+    )
+    met = a.join(b, "token").filter(F.expr(fits))
+    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in ("pos_a", "pos_b", "n_a", "n_b")], F.max(F.least("m_a", "m_b")).alias("m")
+    )
+    return counted.filter("shared >= m").filter(enough.format("shared", rest)).select("a", "b")
 
 
 def _open_buckets(entries: DataFrame) -> tuple[DataFrame, int, int]:
