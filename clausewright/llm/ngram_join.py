@@ -29,6 +29,7 @@ different sets are taken for equal with a probability of about 0.03.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,44 +54,53 @@ STAR_ROUNDS = 4
 #: A node tries a star with which it shares this many hundredths of its prefix.
 STAR_SHARE = 30
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_WORDS_KEPT = 1_000_000
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-class _Words(dict):
-    """Hashes of words, remembered per worker."""
+@functools.lru_cache(maxsize=4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2 ** 64, for 2 ** bits
+    places."""
+    inverse = pow(_MULTIPLIER, -1, 1 << 64)
+    return tuple(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, np.uint64(x))]).cumprod(dtype=np.uint64) for x in (_MULTIPLIER, inverse))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
 
 
-_words = _Words()
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """A hash per word: a polynomial in its bytes. Sums of byte times power over the
+    text give every word's at once, moved to power 0 by the inverse's power."""
+    data = np.frombuffer(raw, np.uint8)
+    edges = np.diff(_BLANK[data].astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    up, down = _powers(max(12, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes. Words are runs of anything but blanks, tabs
     and line ends, with A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    if not text:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(hashes) - size + 1)
-    mixed = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
+        hashes = _word_hashes(text.encode().lower())
+        if not len(hashes):
+            return hashes
+        n = max(1, len(hashes) - size + 1)
+        joined = np.zeros(n, np.uint64)
         for i in range(min(size, len(hashes))):
-            mixed = mixed * _MULTIPLIER + hashes[i : i + n]
+            joined = joined * np.uint64(_MULTIPLIER) + hashes[i : i + n]
         if len(hashes) < size:
-            mixed += np.uint64(len(hashes))
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _MIX
-        mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+            joined += np.uint64(len(hashes))
+        return np.unique(_mixed(joined))
 
 
 def set_hash(shingles: np.ndarray) -> int:
