@@ -8,8 +8,8 @@ ceil(t * n). With m = 1 this is the usual prefix filter; each document lengthens
 prefix, and asks for as many more shared shingles, where the counts of its prefix'
 shingles say that this costs less than verifying what a short prefix lets through.
 
-Nodes that share a prefix shingle form a bucket. Before pairs are made, each node is
-verified against the node of its bucket that shares most (a star): groups of near
+Nodes that share a prefix shingle form a bucket. Before pairs of a large bucket are
+made, each node is verified against the node of it that shares most (a star): groups of near
 copies become one component at a cost linear in their size. Then every pair of a
 bucket that is still in different components and passes the multi-match and length
 filters is verified exactly, so no link between components is lost; pairs within one
@@ -51,6 +51,9 @@ COUNTED_SHINGLES = 3_000_000
 FREQUENT_IN_PART = 3
 #: Rounds of stars go on while they at least halve the pairs left to try.
 STAR_ROUNDS = 4
+#: Nodes that a bucket must have for stars to be worth it; the pairs of smaller ones
+#: grow with the number of buckets only.
+STAR_BUCKET = 48
 #: A node tries a star with which it shares this many hundredths of its prefix.
 STAR_SHARE = 30
 
@@ -191,7 +194,8 @@ def _frequent(counted: DataFrame) -> np.ndarray:
 
 
 def _entries(prefixes: DataFrame, share: int) -> DataFrame:
-    """token, node, n, pos (place in the order), level (least m whose prefix holds the token), m (what the node
+    """token, df (its nodes), node, n, pos (place in the order), rank (place among
+    tokens that other nodes have too), level (least m whose prefix holds the token), m (what the node
     asks for), shared (other nodes met in its shortest prefix). Tokens of one node
     only are left out, as they can match nothing."""
     nodes = prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -205,8 +209,9 @@ def _entries(prefixes: DataFrame, share: int) -> DataFrame:
     hits = {m: F.sum(F.when(F.col("level") <= m, F.col("df") - 1).otherwise(0)).over(mine) for m in MATCHES}
     costs = F.array(*[F.struct((hits[m] * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in MATCHES])
     allowed = F.filter(costs, lambda c: (c["m"] == 1) | (c["m"] <= F.ceil(F.col("n") * share / 100)))
-    chosen = met.withColumns({"m": F.array_min(allowed)["m"], "shared": hits[1]})
-    entries = durable(chosen.filter("level <= m").select("token", "node", "n", "pos", "level", "m", "shared"), "entries")
+    rank = F.row_number().over(mine.orderBy("pos"))
+    chosen = met.withColumns({"m": F.array_min(allowed)["m"], "shared": hits[1], "rank": rank})
+    entries = durable(chosen.filter("level <= m").select("token", "df", "node", "n", "pos", "rank", "level", "m", "shared"), "entries")
     discard(nodes.sparkSession, nodes)
     return entries
 
@@ -267,14 +272,14 @@ def _cross_pairs(entries: DataFrame, share: int) -> DataFrame:
     """Pairs in different components that pass the length, multi-match and positional
     filters. Behind its last shared prefix shingle a pair shares at most what is left
     of the shorter rest; before it, just the shared ones seen, as the order is one."""
-    names = ("node", "n", "pos", "level", "m", "label")
+    names = ("node", "n", "pos", "rank", "level", "m", "label")
     a = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
     b = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
     rest = "least(n_a - 1 - pos_a, n_b - 1 - pos_b)"
     enough = f"{100 + share} * ({{}} + {{}}) >= {share} * (n_a + n_b)"
     fits = (
         f"node_a < node_b and label_a <> label_b and 100 * least(n_a, n_b) >= {share} * greatest(n_a, n_b) and greatest(level_a, level_b) <= least(m_a, m_b)"
-        f" and {enough.format('least(pos_a, pos_b) + 1', rest)}"
+        f" and {enough.format('least(rank_a, rank_b)', rest)}"
     )
     met = a.join(b, "token").filter(F.expr(fits))
     counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
@@ -303,20 +308,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = durable(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")), "least")
     prefixes = durable(_prefixes(docs, size, share, _frequent(counted)), "prefixes")
     entries = _entries(prefixes, share)
-    links, left = None, entries.withColumn("label", F.col("node"))
-    left, n_left, pairs = _open_buckets(left)
-    discard(spark, entries)
+    links = None
+    left, n_left, pairs = _open_buckets(entries.filter(F.col("df") >= STAR_BUCKET).withColumn("label", F.col("node")))
+    small = entries.filter(F.col("df") < STAR_BUCKET).withColumn("label", F.col("node"))
     for turn in range(STAR_ROUNDS):
         if pairs <= 2 * n_left:
             break
         found = _verified(_star_pairs(left, share, turn), docs, least, size, share)
         links = found if links is None else links.union(found)
-        fresh, n_fresh, pairs_now = _open_buckets(_with_component(left.drop("label"), connected_components(links)))
+        labels = connected_components(links)
+        fresh, n_fresh, pairs_now = _open_buckets(_with_component(left.drop("label"), labels))
         discard(spark, left)
+        small = _with_component(small.drop("label"), labels)
         done = pairs_now * 2 > pairs
         left, n_left, pairs = fresh, n_fresh, pairs_now
         if done:
             break
+    left = small.unionByName(left)
     last = _verified(_cross_pairs(left, share), docs, least, size, share)
     labels = connected_components(last if links is None else links.union(last))
 
