@@ -49,3 +49,10 @@ def test_strict_validation_raises(spark):
     assert pipelines.validated(result, issues, "off").columns == ["doc_id", "a"]
     with pytest.raises(pipelines.IntegrityError):
         pipelines.validated(result, issues, "strict")
+
+
+def test_views(spark):
+    from clausewright.plans.sql import register_views
+
+    assert "cw_clause_numbers" in register_views(spark, SF, "cw_")
+    assert spark.sql("SELECT count(*) AS n FROM cw_hash_split").first().n == spark.read.parquet(f"{SF}/documents.parquet").count()
