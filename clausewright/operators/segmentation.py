@@ -59,7 +59,7 @@ def block_starts(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 def body_start(starts: DataFrame, lengths: DataFrame, key: str = "doc_id") -> DataFrame:
     """Offset of each document's first marker, sub-parts aside, with BODY_RUN
     characters or more to the next one or the end; null if there is none."""
-    order = Window.partitionBy(key).orderBy("source_offset").rowsBetween(1, Window.unboundedFollowing)
+    order = Window.partitionBy(key).orderBy(F.desc("source_offset")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: one pass
     main = F.when(~F.col("family").isin(*PAREN), F.col("source_offset"))
     runs = starts.join(lengths.select(key, "text_length"), key).withColumn("run", F.coalesce(F.min(main).over(order), F.col("text_length")) - F.col("source_offset"))
     return runs.groupBy(key).agg(F.min(F.when(F.col("run") >= BODY_RUN, main)).alias("body_offset"))
@@ -181,7 +181,7 @@ def clause_nodes(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def with_inclusive_ends(nodes: DataFrame, key: str = "doc_id", max_depth: int = MAX_DEPTH) -> DataFrame:
     """char_end: start of the next node that is no deeper, else the text's length."""
-    after = Window.partitionBy(key).orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: one pass
     nearest = F.array(*[F.min(F.when(F.col("depth") <= k, F.col("char_start"))).over(after) for k in range(max_depth + 1)])
     return nodes.withColumn("_next", nearest).withColumn("char_end", F.coalesce(F.get("_next", F.col("depth")), F.col("text_length"))).drop("_next")
 
