@@ -187,9 +187,19 @@ def _prefixes(df: DataFrame, size: int, share: int, frequent: np.ndarray) -> Dat
 
 
 def _frequent(counted: DataFrame) -> np.ndarray:
-    """Often shared shingles, sorted; those seen most if there are too many."""
-    sums = counted.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = sums.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).select("token").toArrow().column(0).to_numpy()
+    """Often shared shingles, sorted: all from the least count on from which there are
+    at most FREQUENT_MOST. Counts are told apart by eighths of their binary logarithm,
+    so a few hundred numbers find that count and no task ranks all shingles."""
+    sums = counted.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).withColumn("step", F.floor(8 * F.log2("n")))
+    least, held = None, 0
+    for step, n in sorted(((r[0], r[1]) for r in sums.groupBy("step").count().collect()), reverse=True):
+        held += n
+        if held > FREQUENT_MOST:
+            break
+        least = step
+    if least is None:
+        return np.zeros(0, np.uint64)
+    rows = sums.filter(F.col("step") >= least).select("token").toArrow().column(0).to_numpy()
     return np.sort(np.ascontiguousarray(rows).view(np.uint64))
 
 
