@@ -18,8 +18,8 @@ from clausewright.vocabulary import DOCUMENT_TYPES
 
 
 def _results(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Facts over the lines of documents, with faults by id."""
-    blocks = src.canonicalise(src.line_items(table(spark, sf, "documents"))).filter("ord < 4")
+    """Facts over all lines of documents, with faults by id."""
+    blocks = src.canonicalise(src.line_items(table(spark, sf, "documents")))
     docs = src.documents_of(blocks).withColumn("result_doc_id", F.when(F.col("doc_id") % 97 == 0, -1).otherwise(F.col("doc_id")))
     i = F.col("doc_id")
     name = F.concat(F.lit("cl-"), F.col("ord").cast("string"))
