@@ -17,7 +17,6 @@ from clausewright.functions.numbering import parse_marker
 
 BODY_RUN = 100
 PAREN = ("paren-lower", "paren-upper", "paren-num")
-MAX_DEPTH = 12
 
 NODE = T.StructType(
     [
@@ -28,6 +27,7 @@ NODE = T.StructType(
         T.StructField("depth", T.IntegerType()),
         T.StructField("parent", T.IntegerType()),
         T.StructField("char_start", T.IntegerType()),
+        T.StructField("next_start", T.IntegerType()),
     ]
 )
 
@@ -137,7 +137,8 @@ def _place(stack: list[_Marker], m: _Marker) -> int | None:
 
 
 def decode_markers(rows: list[dict] | None, length: int) -> list[dict]:
-    """The clause nodes of one document's block-start markers."""
+    """The clause nodes of one document's block-start markers; next_start: where the
+    next node that is no deeper starts, null if there is none."""
     markers = [_Marker(r) for r in rows or []]
     stack: list[_Marker] = []
     open_ids: list[int] = []
@@ -146,18 +147,20 @@ def decode_markers(rows: list[dict] | None, length: int) -> list[dict]:
         depth = _place(stack, m) if m.path else None
         if depth is None:
             continue
+        for closed in open_ids[depth:]:
+            nodes[closed]["next_start"] = m.offset
         del stack[depth:], open_ids[depth:]
         path = m.path
         if depth and m.family in ("section", "hier-decimal") and stack[0].family == "article" and path[0] != stack[0].path[0]:
             path = [stack[0].path[0], *path[1:]]
-        nodes.append({"ord": len(nodes), "marker": m.text, "family": m.family, "path": path, "depth": depth, "parent": open_ids[-1] if open_ids else None, "char_start": m.offset})
+        nodes.append({"ord": len(nodes), "marker": m.text, "family": m.family, "path": path, "depth": depth, "parent": open_ids[-1] if open_ids else None, "char_start": m.offset, "next_start": None})
         stack.append(m)
         open_ids.append(len(nodes) - 1)
     return nodes
 
 
 _NODE_TYPE = pa.list_(
-    pa.struct([("ord", pa.int32()), ("marker", pa.string()), ("family", pa.string()), ("path", pa.list_(pa.int32())), ("depth", pa.int32()), ("parent", pa.int32()), ("char_start", pa.int32())])
+    pa.struct([("ord", pa.int32()), ("marker", pa.string()), ("family", pa.string()), ("path", pa.list_(pa.int32())), ("depth", pa.int32()), ("parent", pa.int32()), ("char_start", pa.int32()), ("next_start", pa.int32())])
 )
 
 
@@ -179,11 +182,9 @@ def clause_nodes(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text_length", F.inline(decode("markers", "text_length")))
 
 
-def with_inclusive_ends(nodes: DataFrame, key: str = "doc_id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def with_inclusive_ends(nodes: DataFrame) -> DataFrame:
     """char_end: start of the next node that is no deeper, else the text's length."""
-    after = Window.partitionBy(key).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)  # backwards: one pass
-    nearest = F.array(*[F.min(F.when(F.col("depth") <= k, F.col("char_start"))).over(after) for k in range(max_depth + 1)])
-    return nodes.withColumn("_next", nearest).withColumn("char_end", F.coalesce(F.get("_next", F.col("depth")), F.col("text_length"))).drop("_next")
+    return nodes.withColumn("char_end", F.coalesce("next_start", "text_length")).drop("next_start")
 
 
 def direct_pieces(start: Column, end: Column, holes: Column) -> Column:
@@ -240,7 +241,7 @@ def page_evidence(clauses: DataFrame, blocks: DataFrame, key: str = "doc_id") ->
 
 def segment(blocks: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """All clauses of all documents: spans, role, number, heading and text."""
-    nodes = with_direct_spans(with_inclusive_ends(clause_nodes(blocks, key), key), key)
+    nodes = with_direct_spans(with_inclusive_ends(clause_nodes(blocks, key)), key)
     told = nodes.join(documents.select(key, F.col("text").alias("_text")), key)
     part = F.substring(F.col("_text"), F.col("direct_spans")[0]["start"] + 1, F.col("direct_spans")[0]["end"] - F.col("direct_spans")[0]["start"])
     return told.select(

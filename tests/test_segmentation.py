@@ -131,3 +131,14 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda rows: sorted((r.doc_id, r.ord, r.depth, r.number) for r in rows)
     assert key(spark.table("found").collect()) == key(segment_rows(docs).collect())
     assert len(spark.table("found").collect()) == 7
+
+
+def test_ends_of_deep_clauses(spark):
+    b = blocks(spark, ["ARTICLE I", "1.1 " + B, *["(a) " + B] * 15, "1.2 " + B, "ARTICLE II", "2.1 " + B])
+    rows = seg.segment(b, src.documents_of(b)).orderBy("ord").collect()
+    assert [r.depth for r in rows] == [0, 1, *range(2, 17), 1, 0, 1]
+    for i, r in enumerate(rows):
+        assert r.char_end == next((x.char_start for x in rows[i + 1 :] if x.depth <= r.depth), r.text_length)
+    ended = seg.with_inclusive_ends(seg.clause_nodes(b))
+    assert trust.tree_issues(ended).collect() == []
+    assert trust.confidence(ended).first().score == 1.0
