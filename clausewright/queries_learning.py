@@ -174,11 +174,11 @@ def provision_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers (text, start) of a question over each text: its capitalised words."""
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), 1, 3)
-    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("context"), words.alias("answers"))
-    each = rows.select("doc_id", "context", F.posexplode("answers").alias("pos", "answer")).filter("answer <> ''")
-    return each.select("doc_id", "pos", "answer", (F.instr("context", F.col("answer")) - 1).alias("answer_start"))
+    """Answers (text, start) of a question over each text: all its capitalised words,
+    each with the first place where it reads."""
+    words = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))
+    answers = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("answer"), (F.instr("text", w) - 1).alias("answer_start")))
+    return table(spark, sf, "documents").select("doc_id", F.inline(answers))
 
 
 def title_keywords(spark: SparkSession, sf: str) -> DataFrame:

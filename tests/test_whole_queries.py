@@ -29,3 +29,10 @@ def test_facts_cover_all_lines(spark, duck, name, columns):
     whole = duck.sql(queries.ORACLES[name].replace(" WHERE ord < 4", "")).select(*columns).fetchall()
     assert told(queries.QUERIES[name](spark, SF).select(*columns).collect()) == told(whole)
 
+
+
+def test_every_answer_is_a_row(spark, duck):
+    whole = duck.sql(queries.ORACLES["answer_explode"].replace("[1:3]", "")).select("doc_id", "pos", "answer", "answer_start").fetchall()
+    rows = queries.QUERIES["answer_explode"](spark, SF).select("doc_id", "pos", "answer", "answer_start").collect()
+    assert max(r.pos for r in rows) > 2
+    assert told(rows) == told(whole)
