@@ -73,10 +73,10 @@ def parsed_markers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def roman_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Roman readings of the lower-cased words of the first line of each document."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower(F.substring_index("text", "\n", 1)), " ")).alias("word"))
-    told = words.select("doc_id", "word", numbering.parse_roman(F.col("word")).alias("value"))
-    return told.filter("value is not null").groupBy("word", "value").agg(F.count(F.lit(1)).alias("uses"))
+    """Roman readings of the lower-cased words of all lines of each document."""
+    words = F.filter(F.split(F.lower("text"), "[ \n]"), lambda w: w.rlike("^[ivxlcdm]+$"))
+    uses = table(spark, sf, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    return uses.select("word", numbering.parse_roman(F.col("word")).alias("value"), "uses").filter("value is not null")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -36,3 +36,9 @@ def test_every_answer_is_a_row(spark, duck):
     rows = queries.QUERIES["answer_explode"](spark, SF).select("doc_id", "pos", "answer", "answer_start").collect()
     assert max(r.pos for r in rows) > 2
     assert told(rows) == told(whole)
+
+
+def test_roman_values_of_all_lines(spark, duck):
+    first = "string_split(lower(string_split(text, chr(10))[1]), ' ')"
+    whole = duck.sql(queries.ORACLES["roman_values"].replace(first, "regexp_split_to_array(lower(text), '[ \n]')")).select("word", "value", "uses").fetchall()
+    assert told(queries.QUERIES["roman_values"](spark, SF).select("word", "value", "uses").collect()) == told(whole)
