@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewright.vocabulary import MODEL_LABELS, SPLITS
 
@@ -147,6 +152,25 @@ def row_contract(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(found).alias("issue"))
 
 
+def _plain_words(text: str | None) -> list[str]:
+    low = (text or "").lower()
+    if not low.isascii():
+        low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+    return re.findall(r"\b\w\w+\b", low)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def plain_words(texts: pa.Array) -> pa.Array:
+    """Words of two characters or more, lower-cased and without accents."""
+    return pa.array([_plain_words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def with_pairs(words: Column) -> Column:
+    """words and each two that follow one another."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+
+
 def tfidf(df: DataFrame, id_col: str, words: Column) -> DataFrame:
     """id, term, weight: (1 + ln tf) * (ln((1 + docs) / (1 + df)) + 1), each document
     scaled to length 1."""

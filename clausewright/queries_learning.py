@@ -269,11 +269,11 @@ def split_file_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_top_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """The three heaviest words of each page title's host words, by source row."""
+    """The three heaviest terms of one or two words of each document."""
     from pyspark.sql import Window
 
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 2)
-    weights = ds.tfidf(table(spark, sf, "benchmark"), "item_id", words)
+    words = table(spark, sf, "documents").select("doc_id", ds.plain_words("text").alias("words"))
+    weights = ds.tfidf(words, "doc_id", ds.with_pairs(F.col("words")))
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("weight", 9)), "term"))
     return weights.withColumn("nth", nth).filter("nth <= 3").select("id", "nth", "term", F.round("weight", 6).alias("weight"))
 

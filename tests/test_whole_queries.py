@@ -1,5 +1,9 @@
 """Queries that once read a part of their input, against the whole of it."""
 
+import math
+import re
+import unicodedata
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -42,3 +46,23 @@ def test_roman_values_of_all_lines(spark, duck):
     first = "string_split(lower(string_split(text, chr(10))[1]), ' ')"
     whole = duck.sql(queries.ORACLES["roman_values"].replace(first, "regexp_split_to_array(lower(text), '[ \n]')")).select("word", "value", "uses").fetchall()
     assert told(queries.QUERIES["roman_values"](spark, SF).select("word", "value", "uses").collect()) == told(whole)
+
+
+def brute_terms(text):
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    words = re.findall(r"\w\w+", plain)
+    return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)])
+
+
+def test_terms_of_one_and_two_words_in_all_documents(spark, duck):
+    tfs = {i: brute_terms(t) for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
+    dfs = Counter(t for tf in tfs.values() for t in tf)
+    whole = []
+    for i, tf in tfs.items():
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(tfs)) / (1 + dfs[t])) + 1) for t, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        best = sorted((-round(x / norm, 9), t) for t, x in w.items())[:3]
+        whole += [(i, k, t, -x) for k, (x, t) in enumerate(best, 1)]
+    rows = queries.QUERIES["tfidf_top_terms"](spark, SF).select("id", "nth", "term", "weight").collect()
+    assert [r[:3] for r in told(rows)] == [r[:3] for r in sorted(whole)]
+    assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(told(rows), sorted(whole), strict=True))
