@@ -15,6 +15,8 @@ from clausewright.vocabulary import MODEL_LABELS, SPLITS
 # What a row of each origin must state.
 REQUIRED_SYNTHETIC = ("generator_model", "generator_version", "prompt_id", "critic_result", "output_license")
 REQUIRED_REAL = ("source", "license", "license_url", "source_ref", "raw_label", "reviewer", "guide_version", "source_document_sha256")
+#: One over the relative error of the percentile that bounds what a cap ranks.
+ACCURACY = 10_000
 GROUP_KEYS = ("org_id", "document_family_id", "source_document_sha256", "template_cluster_id")
 
 
@@ -55,12 +57,17 @@ def group_labels(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_sort(F.collect_set(label)).alias("labels"))
 
 
-def cap_negatives(df: DataFrame, is_negative: Column, order: list[str], cap: int) -> DataFrame:
-    """All positives and the first negatives in order. Only candidates for the cap are
-    ranked, and the rank filter runs before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
-    kept = df.filter(is_negative).withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
-    return df.filter(~is_negative).unionByName(kept)
+def cap_negatives(df: DataFrame, is_negative: Column, order: str, cap: int) -> DataFrame:
+    """All positives and the first negatives in a numeric order. A percentile whose
+    error is known bounds the candidates for the cap, so few more than cap are ranked."""
+    negatives = df.filter(is_negative)
+    n = negatives.count()
+    if n > cap:
+        share = min(1.0, cap / n + 2 / ACCURACY)
+        last = negatives.agg(F.percentile_approx(order, share, ACCURACY)).first()[0]
+        rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order))
+        negatives = negatives.filter(F.col(order).isNull() | (F.col(order) <= last)).withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_rank")
+    return df.filter(~is_negative).unionByName(negatives)
 
 
 def dedup_across_splits(df: DataFrame, order: str) -> DataFrame:

@@ -113,7 +113,7 @@ def topk_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return mx.bootstrap(_single(spark, sf), TEN, 50)
+    return mx.bootstrap(_single(spark, sf), TEN, 1000)
 
 
 def doc_presence(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +142,7 @@ def multilabel_group(spark: SparkSession, sf: str) -> DataFrame:
 
 def capped_negatives(spark: SparkSession, sf: str) -> DataFrame:
     rows = _examples(spark, sf)
-    return ds.cap_negatives(rows, F.array_contains("labels", UNKNOWN), ["doc_id"], 300).select("doc_id")
+    return ds.cap_negatives(rows, F.array_contains("labels", UNKNOWN), "doc_id", 15_000).select("doc_id")
 
 
 def hash_split(spark: SparkSession, sf: str) -> DataFrame:

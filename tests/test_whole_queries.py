@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from clausewright import queries
+from clausewright.operators import datasets
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +67,22 @@ def test_terms_of_one_and_two_words_in_all_documents(spark, duck):
     rows = queries.QUERIES["tfidf_top_terms"](spark, SF).select("id", "nth", "term", "weight").collect()
     assert [r[:3] for r in told(rows)] == [r[:3] for r in sorted(whole)]
     assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(told(rows), sorted(whole), strict=True))
+
+
+def test_cap_is_the_references(spark):
+    large = "/root/testdata/sf0.1"
+    assert queries.QUERIES["capped_negatives"](spark, large).count() == 10_000
+
+
+@pytest.mark.parametrize("cap", [0, 7, 700, 5000])
+def test_capped_negatives_are_the_first(spark, cap):
+    df = spark.range(4000).selectExpr("(id * 7919) % 4001 AS doc_id").repartition(5)
+    kept = datasets.cap_negatives(df, df.doc_id % 3 != 0, "doc_id", cap).collect()
+    ids = [r.doc_id for r in df.collect()]
+    assert sorted(r.doc_id for r in kept) == sorted([i for i in ids if i % 3 == 0] + sorted(i for i in ids if i % 3)[:cap])
+
+
+def test_bootstrap_draws_the_references_rounds(spark, duck):
+    whole = duck.sql(queries.ORACLES["bootstrap_ci"].replace("range(1, 51)", "range(1, 1001)")).select("low", "high", "rounds").fetchall()[0]
+    row = queries.QUERIES["bootstrap_ci"](spark, SF).first()
+    assert row.rounds == 1000 and (row.low, row.high, row.rounds) == pytest.approx(whole)
