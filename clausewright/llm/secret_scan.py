@@ -13,7 +13,8 @@ All of it is column functions; a scan is a row-local projection.
 Defined cases: a null or empty text has no spans; texts are scanned whole; without
 ordinary samples (an empty table) the models know only random strings and smoothing;
 spans of one kind never overlap, spans of several patterns may; a model's span never
-overlaps a pattern's; repeated rows are scanned alike; columns other than those named
+overlaps a pattern's: of a run that a pattern meets, the parts outside are judged
+together, and those likelier random are spans; repeated rows are scanned alike; columns other than those named
 are ignored.
 """
 
@@ -149,6 +150,19 @@ def log_likelihood_ratio(word: Column, model: list[float]) -> Column:
     )
 
 
+def _outside(run: Column, base: Column) -> Column:
+    """[start, end) of the parts of a run that no span of base, ordered by start, covers."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    part = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], F.concat(acc["out"], part(acc["at"], b["start"]))).otherwise(acc["out"]).alias("out"))
+
+    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    rest = lambda acc: F.when(acc["at"] < run["end"], F.concat(acc["out"], part(acc["at"], run["end"]))).otherwise(acc["out"])
+    return F.aggregate(met, F.struct(run["start"].alias("at"), none.alias("out")), step, rest)
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """df with base and spans: arrays of (start, kind, end) in code points, end
     exclusive, ordered by start, then kind; kind indexes KINDS."""
@@ -158,11 +172,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: l
     text = F.coalesce(F.col(text_col), F.lit(""))
     based = with_pattern_spans(df.drop("base", "spans"), text_col)
     runs = based.withColumn("_runs", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    judged = runs.withColumn("_likely", F.transform("_runs", lambda w: log_likelihood_ratio(w, model) >= THRESHOLD))
+    judged = runs.withColumn("_likely", F.transform("_runs", lambda w: (F.size("_base") > 0) | (log_likelihood_ratio(w, model) >= THRESHOLD)))
     located = judged.withColumn("_found", _located(text, CANDIDATE, F.col("_runs"), F.col("_likely"), 3))
-    apart = F.filter("_found", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    added = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return located.withColumns({"base": F.col("_base"), "spans": F.array_sort(F.concat(F.col("_base"), added))}).drop("_base", "_runs", "_likely", "_found")
+    ratio = lambda x: log_likelihood_ratio(F.substring(text, x["start"] + 1, x["end"] - x["start"]), model)
+    parts = F.transform("_found", lambda s: F.transform(_outside(s, F.col("_base")), lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"), ratio(x).alias("ratio"))))
+    random = located.withColumn("_parts", parts).withColumn("_random", F.transform("_parts", lambda run: F.filter(run, lambda x: x["ratio"] > 0)))
+    likely = F.filter("_random", lambda run: F.aggregate(run, F.lit(0.0), lambda acc, x: acc + x["ratio"]) >= THRESHOLD)
+    added = F.transform(F.flatten(likely), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return random.withColumns({"base": F.col("_base"), "spans": F.array_sort(F.concat(F.col("_base"), added))}).drop("_base", "_runs", "_likely", "_found", "_parts", "_random")
 
 
 def told(spans: Column) -> Column:
