@@ -15,7 +15,8 @@ query are all that leaves it. Every vector that takes part is in one block.
 Defined cases: vectors that are null, of another length than most, zero, or that hold
 null or non-finite components take no part, as query or candidate; a null id takes no
 part; of repeated ids each row is a candidate of its own, and none is a candidate of
-a query with its id; fewer than k candidates are all returned; an empty table gives
+a query with its id; the asking rows of one id are one query, whose distance to a
+candidate is that of the nearest of their vectors; fewer than k candidates are all returned; an empty table gives
 no rows; columns other than those named are ignored.
 """
 
@@ -60,7 +61,7 @@ class Block:
         self.unit = float(projected.std(axis=0).mean()) or 1.0
 
     def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found, nearest first, ties by id."""
+        """Rows and distances of the k nearest found, nearest first, ties by id."""
         n = len(self.ids)
         centre = query @ self.lines
         norm = float(query @ query)
@@ -93,11 +94,20 @@ class Block:
             near = np.flatnonzero(np.isfinite(squares))
         distances = np.sqrt(((self.vectors[near] - query) ** 2).sum(axis=1))
         chosen = np.lexsort((self.ids[near], distances))[:k]
-        return self.ids[near][chosen], distances[chosen]
+        return near[chosen], distances[chosen]
+
+    def nearest_of_any(self, own: int, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k rows nearest to any of the queries, as above."""
+        found = [self.nearest(own, query, k) for query in np.unique(queries, axis=0)]
+        rows, distances = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((self.ids[rows], distances))
+        _, first = np.unique(rows[order], return_index=True)
+        chosen = order[np.sort(first)][:k]
+        return self.ids[rows[chosen]], distances[chosen]
 
 
 def nearest_neighbours(df: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for every row that queries selects."""
+    """query_id, rank (from 1), vec_id, score for every id that queries selects."""
     rows = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter("vec_id is not null")
     sizes = rows.filter("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -115,8 +125,8 @@ def nearest_neighbours(df: DataFrame, queries: Column, k: int = 10, id_col: str
         found = []
         if len(held) and len(asked):
             own = Block(held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy()))
-            for query, vector in zip(asked["vec_id"], asked["v"], strict=True):
-                ids, distances = own.nearest(query, np.asarray(vector), k)
+            for query, same in asked.groupby("vec_id")["v"]:
+                ids, distances = own.nearest_of_any(query, np.stack(same.to_numpy()), k)
                 found.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": distances}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 

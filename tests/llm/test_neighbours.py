@@ -60,3 +60,13 @@ def test_odd_rows_take_no_part(spark):
     assert {(r.query_id, r.vec_id) for r in got if r.query_id == 0} == {(0, 1), (0, 8)}
     assert {r.query_id for r in got} == {0, 8}
     assert neighbours.nearest_neighbours(df.limit(0), F.col("vec_id") == 0).collect() == []
+
+
+def test_repeated_queries_are_one(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 20)
+    line = [(i, [float(i), 1.0]) for i in range(1, 60)]
+    df = spark.createDataFrame([(0, [0.0, 1.0])] * 2 + [(100, [1.5, 1.0]), (100, [40.25, 1.0])] + line, "vec_id long, embedding array<float>")
+    got = neighbours.nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 0][:10] == [1, 100, *range(2, 10)]
+    mine = sorted((min(abs(x - 1.5), abs(x - 40.25)), i) for i, (x, _) in [*line, (0, (0.0, 1.0)), (0, (0.0, 1.0))])[:10]
+    assert [(r.score, r.vec_id) for r in got if r.query_id == 100] == mine
