@@ -2,39 +2,49 @@
 
 A document is the set of its word shingles, hashed to 64 bits; documents with equal
 sets are one node. All sets are sorted by one global order: shingles that many
-documents share last, otherwise by hash. Two sets of likeness t or more share at
-least m of the first n - ceil(t * n) + m shingles of each, for every m up to
-ceil(t * n). With m = 1 this is the usual prefix filter; each document lengthens its
+documents share last, the most frequent at the very end, others by hash. Sets of
+sizes x and y whose likeness is t or more share need(x, y) = ceil(t (x + y) / (1 + t))
+shingles, hence at least m of the first x - need + m and y - need + m, for every m up
+to need. With m = 1 this is the usual prefix filter; each document lengthens its
 prefix, and asks for as many more shared shingles, where the counts of its prefix'
 shingles say that this costs less than verifying what a short prefix lets through.
 
-Nodes that share a prefix shingle form a bucket. Before pairs of a large bucket are
-made, each node is verified against the node of it that shares most (a star): groups of near
-copies become one component at a cost linear in their size. Then every pair of a
-bucket that is still in different components and passes the multi-match and length
-filters is verified exactly, so no link between components is lost; pairs within one
-component need no look, as they cannot change it. Links are joined into components
-without the driver.
+need grows with the partner's size. So the smaller document of a pair offers only
+the prefix that a partner of its own size needs, under its size class, and the larger
+one asks in each class for just the prefix that this class needs. A passage that many
+documents share is then met only by documents which it makes alike, whatever else
+they hold: pairs are filtered by the join's key, before they exist.
+
+Near copies are joined first. Each node is verified against one node of a bucket
+(nodes that share a prefix shingle): that of its buckets' stars with which it shares most. Groups of near copies
+become one component at a cost linear in their size. Then every pair that is still in
+different components and passes the filters is verified exactly, so no link between
+components is lost; pairs within one component need no look, as they cannot change
+it. Links are joined into components without the driver.
 
 The order's list of frequent shingles is the only thing that is sent to all tasks; it
 has at most FREQUENT_MOST entries by construction (a share of the corpus' shingles).
+It decides what the join costs, never what it returns.
 
 Defined cases: a null text, an empty one or one without words has an empty set and is
-linked with nothing; a text with fewer words than a shingle is one shingle; repeated
-rows and equal sets are one node; rows that share an id keep their own sets; a null id
+linked with nothing; a text with fewer words than a shingle is one shingle; texts are
+read whole, however long, and hashed in blocks; repeated rows and equal sets are one
+node; rows that share an id keep their own sets; a null id
 counts as the largest when the least id of a component is sought; an empty table gives
-no rows; other columns are ignored. Hashes have 64 bits: among 10^9 documents two
+no rows; other columns are ignored, whatever their names. Hashes have 64 bits: among 10^9 documents two
 different sets are taken for equal with a probability of about 0.03.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.llm.components import connected_components
@@ -45,20 +55,20 @@ MATCHES = (1, 2, 4, 8, 16)
 #: Cost of verifying a candidate in units of reading one bucket entry.
 VERIFY_COST = 20.0
 FREQUENT_MOST = 400_000
-#: A part of the corpus in which shingles are counted, and the documents of it that
-#: must share one for it to be a candidate for the frequent list.
+#: A part of the corpus in which shingles are counted; those that two documents of it
+#: share go into the corpus' counts. Of P parts, a shingle dealt evenly is seen by
+#: some part once about sqrt(2 P) documents hold it.
 COUNTED_SHINGLES = 3_000_000
-FREQUENT_IN_PART = 3
-#: Rounds of stars go on while they at least halve the pairs left to try.
-STAR_ROUNDS = 4
-#: Nodes that a bucket must have for stars to be worth it; the pairs of smaller ones
-#: grow with the number of buckets only.
-STAR_BUCKET = 48
-#: A node tries a star with which it shares this many hundredths of its prefix.
-STAR_SHARE = 30
+FREQUENT_IN_PART = 2
+#: Ratio of the bounds of neighbouring size classes.
+CLASS_RATIO = 1.05
+#: Pairs with one node that a task verifies.
+PAIRS_OF_ONE = 512
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Bytes of a text that are hashed at once, and of a word that is hashed with others.
+BLOCK, LONG_WORD = 1 << 20, 1 << 12
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -77,15 +87,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(raw: bytes) -> np.ndarray:
-    """A hash per word: a polynomial in its bytes. Sums of byte times power over the
-    text give every word's at once, moved to power 0 by the inverse's power."""
+    """A hash per word: a polynomial in its bytes. Sums of byte times power over a
+    block give all its words' at once, moved to power 0 by the inverse's power. Words
+    longer than LONG_WORD are hashed one by one, so that blocks stay small."""
     data = np.frombuffer(raw, np.uint8)
     edges = np.diff(_BLANK[data].astype(np.int8), prepend=1, append=1)
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    up, down = _powers(max(12, len(data).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    blocks = np.searchsorted(starts, np.arange(0, len(data) + BLOCK, BLOCK))
+    for first, last in zip(blocks[:-1], blocks[1:], strict=True):
+        if first == last:
+            continue
+        base, begin = starts[first], starts[first:last] - starts[first]
+        end = begin + np.minimum(sizes[first:last], LONG_WORD)
+        block = data[base : base + end[-1]]
+        up, down = _powers(max(12, len(block).bit_length()))
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum((block + np.uint64(1)) * up[: len(block)], out=sums[1:])
+        out[first:last] = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return out
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -107,8 +130,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def set_hash(shingles: np.ndarray) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
@@ -117,27 +138,28 @@ def _signed(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets_and_counts(df: DataFrame, size: int) -> DataFrame:
-    """One row per document (id, node, n) and, per part of the corpus, rows of its
-    often shared shingles (token, n)."""
+    """One row per document (id, text_hash, node, n) and, per part of the corpus, rows
+    of its shared shingles (token, n). df: id, text, text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list[np.ndarray] = []
         held = 0
 
-        def told(ids: list, nodes: list, tokens: list, counts: list) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, nodes, tokens, counts), kinds, strict=True)], names=["id", "node", "token", "n"])
+        def told(ids: list, hashes: list, nodes: list, tokens: list, counts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in (ids, hashes, nodes, tokens, counts)], names=["id", "text_hash", "node", "token", "n"]
+            )
 
         def frequent() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(part), return_counts=True)
             often = counts >= FREQUENT_IN_PART
-            return told([None] * int(often.sum()), [None] * int(often.sum()), _signed(tokens[often]), counts[often])
+            none = [None] * int(often.sum())
+            return told(none, none, none, _signed(tokens[often]), counts[often])
 
         for batch in batches:
-            ids, nodes, counts = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            nodes, counts = [], []
+            for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, size)
-                ids.append(doc)
                 nodes.append(set_hash(shingles) if len(shingles) else None)
                 counts.append(len(shingles))
                 part.append(shingles)
@@ -145,52 +167,20 @@ def _sets_and_counts(df: DataFrame, size: int) -> DataFrame:
                 if held >= COUNTED_SHINGLES:
                     yield frequent()
                     part, held = [], 0
-            yield told(ids, nodes, [None] * len(ids), counts)
+            yield told(batch.column(0), batch.column(2), nodes, [None] * len(nodes), counts)
         if part:
             yield frequent()
 
-    return df.mapInArrow(run, "id long, node long, token long, n long")
-
-
-def _prefixes(df: DataFrame, size: int, share: int, frequent: np.ndarray) -> DataFrame:
-    """id, node, n and the first shingles of each set: as many as the longest prefix
-    needs."""
-    longest = MATCHES[-1]
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST numbers
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = sent.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                ids, nodes, counts, prefixes = [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    shingles = shingle_set(text, size)
-                    n = len(shingles)
-                    if not n:
-                        continue
-                    node = set_hash(shingles)
-                    keep = min(n, n - -(-share * n // 100) + longest)
-                    if len(late):
-                        at = np.searchsorted(late, shingles)
-                        is_late = late[np.minimum(at, len(late) - 1)] == shingles
-                        shingles = np.concatenate([shingles[~is_late], shingles[is_late]])
-                    ids.append(doc)
-                    nodes.append(node)
-                    counts.append(n)
-                    prefixes.append(_signed(shingles[:keep]))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, nodes, counts, prefixes), kinds, strict=True)], names=["id", "node", "n", "prefix"])
-
-    return df.mapInArrow(run, "id long, node long, n int, prefix array<long>")
+    return df.select("id", "text", "text_hash").mapInArrow(run, "id long, text_hash long, node long, token long, n long")
 
 
-def _frequent(counted: DataFrame) -> np.ndarray:
-    """Often shared shingles, sorted: all from the least count on from which there are
-    at most FREQUENT_MOST. Counts are told apart by eighths of their binary logarithm,
-    so a few hundred numbers find that count and no task ranks all shingles."""
-    sums = counted.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n")).withColumn("step", F.floor(8 * F.log2("n")))
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Often shared shingles, sorted, and the step of each one's count: all from the
+    least step on from which there are at most FREQUENT_MOST. Steps are eighths of the
+    binary logarithm, so a few hundred numbers find the least one and no task ranks
+    all shingles."""
+    sums = counted.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = durable(sums.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "shingle-sums")
     least, held = None, 0
     for step, n in sorted(((r[0], r[1]) for r in sums.groupBy("step").count().collect()), reverse=True):
         held += n
@@ -198,44 +188,161 @@ def _frequent(counted: DataFrame) -> np.ndarray:
             break
         least = step
     if least is None:
-        return np.zeros(0, np.uint64)
-    rows = sums.filter(F.col("step") >= least).select("token").toArrow().column(0).to_numpy()
-    return np.sort(np.ascontiguousarray(rows).view(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    rows = sums.filter(F.col("step") >= least).select("token", "step").toArrow()
+    discard(sums.sparkSession, sums)
+    tokens = np.ascontiguousarray(rows.column(0).to_numpy()).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rows.column(1).to_numpy()[order]
+
+
+def in_order(shingles: np.ndarray, late: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: frequent shingles last, by step, then hash."""
+    if not len(late):
+        return shingles
+    at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
+    is_late = late[at] == shingles
+    last = shingles[is_late]
+    return np.concatenate([shingles[~is_late], last[np.argsort(steps[at[is_late]], kind="stable")]])
+
+
+def _prefixes(df: DataFrame, size: int, share: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, n and the first shingles of each set: as many as the longest prefix
+    needs. A part tells each node once."""
+    longest = MATCHES[-1]
+    sent = df.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late, steps = sent.value
+        for texts in _slices(batches, 1000):
+            nodes, counts, prefixes = [], [], []
+            for text in dict.fromkeys(texts):
+                shingles = shingle_set(text, size)
+                n = len(shingles)
+                if n:
+                    nodes.append(set_hash(shingles))
+                    counts.append(n)
+                    prefixes.append(_signed(in_order(shingles, late, steps)[: n - -(-share * n // 100) + longest]))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((nodes, counts, prefixes), kinds, strict=True)], names=["node", "n", "prefix"])
+
+    return df.select("text").mapInArrow(run, "node long, n int, prefix array<long>")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list]:
+    """Values of the first column, few at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.column(0).slice(start, rows).to_pylist()
+
+
+def needed(share: int, a: str, b: str) -> str:
+    """SQL: the shingles that sets of two sizes must share."""
+    return f"(({share} * ({a} + {b}) + {99 + share}) div {100 + share})"
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(CLASS_RATIO)).cast("int")
 
 
 def _entries(prefixes: DataFrame, share: int) -> DataFrame:
-    """token, df (its nodes), node, n, pos (place in the order), rank (place among
-    tokens that other nodes have too), level (least m whose prefix holds the token), m (what the node
-    asks for), shared (other nodes met in its shortest prefix). Tokens of one node
-    only are left out, as they can match nothing."""
-    nodes = prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = durable(nodes, "nodes")
-    discard(nodes.sparkSession, prefixes)
-    first = F.col("n") - F.ceil(F.col("n") * share / 100).cast("int")
+    """token, node, n, pos (place in the order), rank (place among tokens that other
+    nodes have too), m (what the node asks for), offers (whether a partner of the
+    node's own size needs the token), met (other nodes in its buckets). Tokens of one
+    node only are left out, as they can match nothing."""
+    nodes = durable(prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    first = F.col("n") - F.expr(needed(share, "n", "n"))
     told = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("level", F.greatest(F.lit(1), F.col("pos") - first + 1))
     counts = told.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = told.join(counts, "token")
+    shared = told.join(counts, "token")
     mine = Window.partitionBy("node")
     hits = {m: F.sum(F.when(F.col("level") <= m, F.col("df") - 1).otherwise(0)).over(mine) for m in MATCHES}
     costs = F.array(*[F.struct((hits[m] * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m in MATCHES])
     allowed = F.filter(costs, lambda c: (c["m"] == 1) | (c["m"] <= F.ceil(F.col("n") * share / 100)))
     rank = F.row_number().over(mine.orderBy("pos"))
-    chosen = met.withColumns({"m": F.array_min(allowed)["m"], "shared": hits[1], "rank": rank})
-    entries = durable(chosen.filter("level <= m").select("token", "df", "node", "n", "pos", "rank", "level", "m", "shared"), "entries")
+    chosen = shared.withColumns({"m": F.array_min(allowed)["m"], "met": hits[1], "rank": rank})
+    asked = chosen.filter(f"pos < n - (({share} * n + 99) div 100) + m").withColumn("offers", F.col("level") <= F.col("m"))
+    entries = durable(asked.select("token", "node", "n", "pos", "rank", "m", "offers", "met"), "entries")
     discard(nodes.sparkSession, nodes)
     return entries
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, size: int, share: int) -> DataFrame:
+def _open_entries(entries: DataFrame) -> tuple[DataFrame, int, int]:
+    """Entries of buckets in which components can still meet, their number, and the
+    pairs of an offered and any entry of different components in them."""
+    sizes = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.count_if("offers").alias("o"))
+    per = sizes.groupBy("token").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("o").alias("offered"), (F.sum("c") * F.sum("o") - F.sum(F.col("c") * F.col("o"))).alias("pairs")
+    )
+    mixed = durable(per.filter("labels > 1 and offered > 0").select("token", "pairs"), "open-buckets")
+    left = durable(entries.join(mixed.select("token"), "token"), "open-entries")
+    pairs = int(mixed.agg(F.sum("pairs")).first()[0] or 0)
+    discard(entries.sparkSession, mixed)
+    return left, left.count(), pairs
+
+
+def _star_pairs(entries: DataFrame, share: int, turn: int) -> DataFrame:
+    """Each node with the star of another component that it shares most tokens with,
+    if so many can be enough. A bucket's star is at first its node that meets most
+    others, in later rounds one chosen by hash."""
+    rank = F.col("met") if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")
+    star = F.max_by(F.struct("node", "n", "pos", "label"), F.struct(rank, F.col("node")))
+    stars = entries.groupBy("token").agg(star.alias("star"))
+    pair = f"star.label <> label and 100 * least(n, star.n) >= {share} * greatest(n, star.n)"
+    met = entries.join(stars, "token").filter(pair).withColumn("rest", F.expr("least(n - 1 - pos, star.n - 1 - star.pos)"))
+    counted = met.groupBy("node", F.col("star.node").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max("rank").alias("rank"), F.max("rest").alias("rest"), F.first("n").alias("n"), F.first("star.n").alias("star_n")
+    )
+    enough = counted.filter(f"rank + rest >= {needed(share, 'n', 'star_n')}")
+    return enough.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+
+
+def _meetings(entries: DataFrame, share: int) -> DataFrame:
+    """A row for each prefix shingle that two nodes (larger a, smaller b) of different
+    components share, where it can belong to a likeness of share hundredths."""
+    names = ("node", "n", "pos", "rank", "m", "label")
+    least = f"(({share} * n + 99) div 100)"
+    classes = F.sequence(size_class(F.expr(least)), size_class(F.col("n")))
+    asking = entries.withColumn("class", F.explode(classes))
+    floor = f"greatest({least}, cast(floor(pow({CLASS_RATIO}D, class)) as int))"
+    asking = asking.filter(f"pos < n - {needed(share, 'n', floor)} + m")
+    offered = entries.filter("offers").withColumn("class", size_class(F.col("n")))
+    a = asking.select("token", "class", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = offered.select("token", "class", *[F.col(c).alias(f"{c}_b") for c in names])
+    need, rest, m = needed(share, "n_a", "n_b"), "least(n_a - 1 - pos_a, n_b - 1 - pos_b)", "least(m_a, m_b)"
+    fits = (
+        f"label_a <> label_b and (n_b < n_a or (n_b = n_a and node_b < node_a)) and 100 * n_b >= {share} * n_a"
+        f" and pos_a < n_a - {need} + {m} and pos_b < n_b - {need} + {m} and least(rank_a, rank_b) + {rest} >= {need}"
+    )
+    return a.join(b, ["token", "class"]).filter(fits)
+
+
+def _cross_pairs(entries: DataFrame, share: int) -> DataFrame:
+    """Pairs in different components that pass the length, multi-match and positional
+    filters. Behind its last shared prefix shingle a pair shares at most what is left
+    of the shorter rest; before it, just the shared ones seen, as the order is one."""
+    need, rest, m = needed(share, "n_a", "n_b"), "least(n_a - 1 - pos_a, n_b - 1 - pos_b)", "least(m_a, m_b)"
+    met = _meetings(entries, share)
+    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in ("pos_a", "pos_b", "n_a", "n_b")], F.max(F.expr(m)).alias("m")
+    )
+    return counted.filter(f"shared >= m and shared + {rest} >= {need}").select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, share: int) -> DataFrame:
     """Those pairs (a, b) whose sets' likeness is at least share hundredths. Only sets
-    that occur in pairs are built, and they go when the links are written."""
+    that occur in pairs are built, and they go when the links are written. Pairs of
+    one b are spread over copies of its set, one for every PAIRS_OF_ONE of them."""
     spark = docs.sparkSession
     pairs = durable(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = durable(_sets_of(docs, least.join(nodes, "node", "left_semi"), size), "sets")
+    sets = durable(_sets_of(docs, firsts.join(nodes, "node", "left_semi"), size), "sets")
+    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_ONE).cast("int").alias("parts"))
+    spread = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(counts, "b")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = spread.join(left, "a").join(right, ["b", "part"])
     shared = F.size(F.array_intersect("sa", "sb"))
     links = durable(both.filter(100 * shared >= share * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
     discard(spark, pairs, sets)
@@ -243,107 +350,89 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, size: int, sh
 
 
 def _sets_of(df: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, shingles for every wanted (id, node)."""
-    chosen = df.join(wanted.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+    """node, shingles for every wanted node; wanted holds its first row's id and text
+    hash. Rows repeated in full are told once a part, then once."""
+    keys = wanted.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    chosen = df.join(keys, (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                nodes, sets = [], []
-                for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    shingles = shingle_set(text, size)
-                    if len(shingles) and set_hash(shingles) == node:
-                        nodes.append(node)
-                        sets.append(_signed(shingles))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        seen: set[int] = set()
+        for texts in _slices(batches, 500):
+            found = {}
+            for text in dict.fromkeys(texts):
+                shingles = shingle_set(text, size)
+                if len(shingles) and (node := set_hash(shingles)) not in seen:
+                    found[node] = _signed(shingles)
+            seen |= found.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return chosen.mapInArrow(run, "node long, shingles array<long>")
+    return chosen.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _with_component(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    return entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return entries.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _star_pairs(entries: DataFrame, share: int, turn: int) -> DataFrame:
-    """Each node with the star of another component that it shares most tokens with.
-    A bucket's star is at first its node that meets most others, in later rounds one
-    chosen by hash; nodes of the star's component need no star."""
-    rank = F.col("shared") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    stars = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by(F.struct("node", "n", "label"), F.struct(rank, F.col("node"))).alias("star"))
-    mixed = stars.filter("low <> high").select("token", "star")
-    met = entries.join(mixed, "token").filter(F.expr("star.label <> label") & F.expr(f"100 * least(n, star.n) >= {share} * greatest(n, star.n)"))
-    counted = met.groupBy("node", F.col("star.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("n").alias("size"))
-    likely = counted.filter(F.col("n") * 100 >= STAR_SHARE * (F.col("size") - F.ceil(F.col("size") * share / 100) + 1))
-    return likely.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-
-
-def _cross_pairs(entries: DataFrame, share: int) -> DataFrame:
-    """Pairs in different components that pass the length, multi-match and positional
-    filters. Behind its last shared prefix shingle a pair shares at most what is left
-    of the shorter rest; before it, just the shared ones seen, as the order is one."""
-    names = ("node", "n", "pos", "rank", "level", "m", "label")
-    a = entries.select("token", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = entries.select("token", *[F.col(c).alias(f"{c}_b") for c in names])
-    rest = "least(n_a - 1 - pos_a, n_b - 1 - pos_b)"
-    enough = f"{100 + share} * ({{}} + {{}}) >= {share} * (n_a + n_b)"
-    fits = (
-        f"node_a < node_b and label_a <> label_b and 100 * least(n_a, n_b) >= {share} * greatest(n_a, n_b) and greatest(level_a, level_b) <= least(m_a, m_b)"
-        f" and {enough.format('least(rank_a, rank_b)', rest)}"
-    )
-    met = a.join(b, "token").filter(F.expr(fits))
-    counted = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in ("pos_a", "pos_b", "n_a", "n_b")], F.max(F.least("m_a", "m_b")).alias("m")
-    )
-    return counted.filter("shared >= m").filter(enough.format("shared", rest)).select("a", "b")
-
-
-def _open_buckets(entries: DataFrame) -> tuple[DataFrame, int, int]:
-    """Entries of buckets with several components, their number and the pairs of
-    different components in them."""
-    sizes = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
-    mixed = durable(per.filter("labels > 1").select("token", "pairs"), "open-buckets")
-    left = durable(entries.join(mixed.select("token"), "token"), "open-entries")
-    return left, left.count(), int((mixed.agg(F.sum("pairs")).first()[0] or 0) / 2)
+def _node_labels(docs: DataFrame, counted: DataFrame, firsts: DataFrame, size: int, share: int) -> DataFrame:
+    """node, label of every node that is linked with another."""
+    spark = docs.sparkSession
+    found = _entries(_prefixes(docs, size, share, _frequent(counted)), share)
+    links = None
+    left, n_left, pairs = _open_entries(found.withColumn("label", F.col("node")))
+    discard(spark, found)
+    turn, before = 0, None
+    while pairs > n_left and (before is None or pairs * 2 <= before):  # while stars pay; the rest is exact in any case
+        new = _verified(_star_pairs(left, share, turn), docs, firsts, size, share)
+        links = new if links is None else links.union(new)
+        fresh, n_left, now = _open_entries(_with_component(left, connected_components(links)))
+        discard(spark, left)
+        left, before, pairs, turn = fresh, pairs, now, turn + 1
+    last = _verified(_cross_pairs(left, share), docs, firsts, size, share)
+    links = last if links is None else links.union(last)
+    labels = durable(connected_components(links), "node-labels")
+    discard(spark, left, links)
+    return labels
+
+
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80) -> DataFrame:
+    """One row per document: id, text_hash, n and, of the rows with its set and of
+    those that links reach from it, the first: structs (none, id, text_hash), least
+    id first, null ids last. Both are null for documents without words."""
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    counted = durable(_sets_and_counts(docs, size), "shingle-counts")
+    rows = counted.filter("token is null").select("id", "text_hash", "node", "n")
+    me = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    firsts = durable(rows.filter("node is not null").groupBy("node").agg(F.min(me).alias("first")), "firsts")
+    labels = _node_labels(docs, counted, firsts, size, share)
+    placed = durable(firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    tops = placed.groupBy("label").agg(F.min("first").alias("component"))
+    told = placed.join(tops, "label").select("node", F.col("first").alias("class"), "component")
+    discard(df.sparkSession, labels)
+    empty = rows.filter("node is null").select("id", "text_hash", "n", *[F.lit(None).cast(told.schema["class"].dataType).alias(c) for c in ("class", "component")])
+    return rows.filter("node is not null").join(told, "node").select("id", "text_hash", "n", "class", "component").unionByName(empty)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the least id that links
     reach from it, its own included), class_id (of the documents with its set)."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    counted = durable(_sets_and_counts(docs, size), "shingle-counts")
-    rows = counted.filter("token is null")
-    least = durable(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")), "least")
-    prefixes = durable(_prefixes(docs, size, share, _frequent(counted)), "prefixes")
-    entries = _entries(prefixes, share)
-    links = None
-    left, n_left, pairs = _open_buckets(entries.filter(F.col("df") >= STAR_BUCKET).withColumn("label", F.col("node")))
-    small = entries.filter(F.col("df") < STAR_BUCKET).withColumn("label", F.col("node"))
-    for turn in range(STAR_ROUNDS):
-        if pairs <= 2 * n_left:
-            break
-        found = _verified(_star_pairs(left, share, turn), docs, least, size, share)
-        links = found if links is None else links.union(found)
-        labels = connected_components(links)
-        fresh, n_fresh, pairs_now = _open_buckets(_with_component(left.drop("label"), labels))
-        discard(spark, left)
-        small = _with_component(small.drop("label"), labels)
-        done = pairs_now * 2 > pairs
-        left, n_left, pairs = fresh, n_fresh, pairs_now
-        if done:
-            break
-    left = small.unionByName(left)
-    last = _verified(_cross_pairs(left, share), docs, least, size, share)
-    labels = connected_components(last if links is None else links.union(last))
-
-    placed = durable(least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "node-labels")
-    tops = placed.groupBy("label").agg(F.min("id").alias("component_id"))
-    told = durable(placed.join(tops, "label").select("node", F.col("id").alias("class_id"), "component_id"), "node-components")
-    return rows.join(told, "node", "left").select(
+    return groups(df, id_col, text_col, size, share).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("component.id", "id").alias("component_id"),
+        F.coalesce("class.id", "id").alias("class_id"),
     )
+
+
+def first_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80) -> DataFrame:
+    """The rows of df without near copies: of each component the row with the least
+    id (then text hash), and every row without words. Rows are told apart by id and
+    text, so a null or repeated id hides no copy; of rows that repeat the kept one,
+    one stays."""
+    found = durable(groups(df, id_col, text_col, size, share), "groups")
+    mine = F.expr("id <=> component.id and text_hash = component.text_hash")
+    kept = found.filter(mine | F.col("component").isNull()).groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"), F.first(F.col("component").isNull()).alias("_empty"))
+    kept = kept.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), ((F.col("_rows") > 1) & ~F.col("_empty")).alias("_repeated"))
+    keyed = (F.xxhash64(text_col) == F.col("_hash")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_id"))
+    chosen = df.join(kept, keyed).drop("_id", "_hash")
+    once = chosen.filter("_repeated").dropDuplicates([id_col, text_col])
+    return chosen.filter("not _repeated").unionByName(once).drop("_repeated")

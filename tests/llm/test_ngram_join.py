@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from clausewright.llm import ngram_join, queries
 from clausewright.llm.components import connected_components
@@ -93,3 +94,63 @@ def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(100)] + [(200, 201), (5, 5)], "a long, b long")
     got = {r.node: r.label for r in connected_components(links).collect()}
     assert got == {i: 0 for i in range(101)} | {200: 200, 201: 200}
+
+
+def met_rows(spark, texts, size=5, share=80):
+    """Rows of the pair join for these texts, before stars have joined anything."""
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").withColumn("text_hash", F.xxhash64("text")).repartition(4)
+    counted = ngram_join._sets_and_counts(df, size)
+    entries = ngram_join._entries(ngram_join._prefixes(df, size, share, ngram_join._frequent(counted)), share)
+    return ngram_join._meetings(entries.withColumn("label", F.col("node")), share).count()
+
+
+@pytest.mark.parametrize("own", [9, 30])
+def test_common_passage_makes_no_pairs(spark, own):
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    for n in (300, 600, 1200):
+        texts = [" ".join([word() for _ in range(own + rng.randrange(3))] + passage) for _ in range(n)]
+        assert met_rows(spark, texts) <= n
+
+
+def test_unlike_copies_make_few_pairs(spark):
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    for n in (200, 400, 800):
+        texts = []
+        for _ in range(n):
+            copy = list(base)
+            for _ in range(rng.randint(4, 7)):
+                copy[rng.randrange(150)] = word()
+            texts.append(" ".join(copy))
+        assert met_rows(spark, texts) <= n * (n - 1) / 200
+
+
+def test_hot_ids(spark):
+    rng = random.Random(7)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base = words(60)
+    rows = [(None if k % 2 else 5, " ".join([*base[:50], *words(k % 4)])) for k in range(200)] + [(None, " ".join(words(20))) for _ in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = ngram_join.near_duplicates(df).collect()
+    assert len(got) == 300 and sum(r.component_id == 5 for r in got) == 200
+    kept = ngram_join.first_of_each_group(df.withColumn("node", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "node"] and kept.count() == 101
+    assert sum(r.doc_id == 5 for r in kept.collect()) == 1
+
+
+def test_kept_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long.upper()), (None, long + " x"), (None, None), (None, None), (3, ""), (4, "alone"), (4, "ALONE")]
+    kept = ngram_join.first_of_each_group(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((str(r.doc_id), {"alone": "a", "ALONE": "a"}.get(r.text, str(r.text))) for r in kept.collect()) == sorted([("1", long), ("None", "None"), ("None", "None"), ("3", ""), ("4", "a")])
+
+
+def test_blocks_of_long_texts(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcé") for _ in range(rng.choice((1, 5, 9, 5000)))) for _ in range(400))
+    whole = ngram_join.shingle_set(text, 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)
+    assert (ngram_join.shingle_set(text, 4) == whole).all() and len(whole) == 397
