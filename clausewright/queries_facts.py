@@ -165,7 +165,7 @@ _KINDS = "[" + ", ".join(f"{{'t': '{t}', 'c': " + (f"'{c}'" if c else "NULL") +
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\s.,]+'), lambda w: list_contains({0}, w))"
 _STOPS = "[" + ", ".join(f"{{'n': len({_WORDS.replace('{0}', '[' + ', '.join(repr(w) for w in ws) + ']')}), 'code': '{c}'}}" for c, ws in facts.STOP_WORDS) + "]"
 _FACTS = f"""{_LINES}, items AS (SELECT *, CAST(floor(item_index / 50) + 1 AS INT) AS page FROM lines), every AS (SELECT b.*, i.page FROM ({_blocks_sql('items')}) b JOIN items i ON i.doc_id = b.doc_id AND 'b' || i.item_index = b.block_id),
-b AS (SELECT doc_id, ord, block_id, text, page, char_start, char_end, doc_id AS i, 'cl-' || ord AS nm, CASE WHEN doc_id % 31 = 0 AND ord = 1 THEN 'cl-0' ELSE 'e-' || ord END AS eid FROM every WHERE ord < 4),
+b AS (SELECT doc_id, ord, block_id, text, page, char_start, char_end, doc_id AS i, 'cl-' || ord AS nm, CASE WHEN doc_id % 31 = 0 AND ord = 1 THEN 'cl-0' ELSE 'e-' || ord END AS eid FROM every),
 d AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS doc, max(page) AS page_count FROM b GROUP BY doc_id),
 f AS (SELECT doc_id, 'clause' AS kind, 1 AS ko, ord, nm AS id FROM b UNION ALL SELECT doc_id, 'entity', 2, ord, eid FROM b),
 ev AS (SELECT doc_id, 'clause' AS kind, nm AS id, ord, page + CASE WHEN i % 41 = 0 THEN 9 ELSE 0 END AS page, char_start, char_end, CASE WHEN i % 43 = 0 THEN 'x' ELSE text END AS text, CASE WHEN i % 47 = 0 THEN 'b99' ELSE block_id END AS block_id
@@ -181,11 +181,12 @@ ORACLES = {
         UNION ALL SELECT ev.doc_id, 'span_mismatch', kind || ':' || id FROM ev JOIN d ON d.doc_id = ev.doc_id WHERE substr(doc, char_start + 1, char_end - char_start) <> text
         UNION ALL SELECT ev.doc_id, 'page_out_of_range', kind || ':' || id FROM ev JOIN d ON d.doc_id = ev.doc_id WHERE page > page_count
         UNION ALL SELECT doc_id, 'bad_block_id', block_id FROM ev WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = ev.doc_id AND b.block_id = ev.block_id)
-        UNION ALL SELECT doc_id, 'clause_span_oob', nm FROM b WHERE i % 23 = 0 AND ord = 1
+        UNION ALL SELECT b.doc_id, 'clause_span_oob', nm FROM b JOIN d ON d.doc_id = b.doc_id WHERE i % 23 = 0 AND ord = 1 AND char_end + 100000 > length(doc)
         UNION ALL SELECT doc_id, 'clause_text_mismatch', nm FROM b WHERE i % 29 = 0 AND ord = 0 AND text <> 'something else'
-        UNION ALL SELECT doc_id, 'dangling_clause_id', 'entity:' || eid FROM b WHERE i % 37 = 0
+        UNION ALL SELECT b.doc_id, 'clause_text_mismatch', nm FROM b JOIN d ON d.doc_id = b.doc_id WHERE i % 23 = 0 AND ord = 1 AND char_end + 100000 <= length(doc)
+        UNION ALL SELECT doc_id, 'dangling_clause_id', 'entity:' || eid FROM b WHERE i % 37 = 0 AND NOT EXISTS (SELECT 1 FROM b c WHERE c.doc_id = b.doc_id AND c.nm = 'cl-77')
         UNION ALL SELECT doc_id, 'dangling_ref', id || ':' || e FROM ends WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = ends.doc_id AND f.id = ends.e)
-        UNION ALL SELECT doc_id, 'dangling_clause_id', 'classification:cl-88' FROM b WHERE i % 61 = 0
+        UNION ALL SELECT doc_id, 'dangling_clause_id', 'classification:cl-88' FROM b WHERE i % 61 = 0 AND NOT EXISTS (SELECT 1 FROM b c WHERE c.doc_id = b.doc_id AND c.nm = 'cl-88')
         UNION ALL SELECT doc_id, 'primary_type_disagree', CASE WHEN i % 61 = 0 THEN 'cl-88' ELSE nm END FROM b WHERE i % 67 = 0""",
     "evidence_verify": f"WITH {_FACTS} SELECT kind, count(*) AS failing FROM ev JOIN d ON d.doc_id = ev.doc_id WHERE substr(doc, char_start + 1, char_end - char_start) <> text GROUP BY kind",
     "entities_regex": f"{_W}, {_ENT} SELECT type, entity, count(*) AS n FROM ents GROUP BY ALL",

@@ -390,7 +390,7 @@ ORACLES = {
     "topk_accuracy": f"""WITH {_SCORED}, r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY scores[i] DESC, i DESC) AS k FROM scored, range(1, 11) r(i))
         SELECT avg(CAST(hit AS DOUBLE)) AS top3 FROM (SELECT vec_id, max(CAST(i - 1 = label AND k <= 3 AS INT)) AS hit FROM r GROUP BY vec_id)""",
     "bootstrap_ci": f"""WITH {_SINGLE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY gold ORDER BY id) - 1 AS pos FROM single), sizes AS (SELECT gold, count(*) AS n FROM single GROUP BY gold),
-        draws AS (SELECT gold, rd, CAST('0x' || substr(md5(rd || ':' || gold || ':' || i), 1, 7) AS BIGINT) % n AS pos FROM sizes, range(1, 51) a(rd), LATERAL (SELECT unnest(range(0, n)) AS i)),
+        draws AS (SELECT gold, rd, CAST('0x' || substr(md5(rd || ':' || gold || ':' || i), 1, 7) AS BIGINT) % n AS pos FROM sizes, range(1, 1001) a(rd), LATERAL (SELECT unnest(range(0, n)) AS i)),
         drawn AS (SELECT rd, d.gold, pred FROM draws d JOIN ranked r ON r.gold = d.gold AND r.pos = d.pos),
         per AS (SELECT rd, label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER (gold <> label AND pred = label) AS fp, count(*) FILTER (gold = label AND pred <> label) AS fn
             FROM drawn, (SELECT unnest({_TEN}) AS label) GROUP BY ALL),
@@ -410,7 +410,7 @@ ORACLES = {
     "multilabel_group": f"""WITH {_EXAMPLES}, f AS (SELECT source, split, unnest(labels) AS label FROM examples)
         SELECT source, split, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY ALL""",
     "capped_negatives": f"""WITH {_EXAMPLES}, n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM examples WHERE list_contains(labels, '{UNKNOWN}'))
-        SELECT doc_id FROM examples WHERE NOT list_contains(labels, '{UNKNOWN}') UNION ALL SELECT doc_id FROM n WHERE k <= 300""",
+        SELECT doc_id FROM examples WHERE NOT list_contains(labels, '{UNKNOWN}') UNION ALL SELECT doc_id FROM n WHERE k <= 15000""",
     "hash_split": f"WITH {_EXAMPLES} SELECT doc_id, split FROM examples",
     "dedup_across_splits": f"""WITH {_EXAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, doc_id) AS k FROM examples),
         l AS (SELECT text, string_agg(DISTINCT source || '-' || split, ',' ORDER BY source || '-' || split) AS labels FROM examples GROUP BY text)
@@ -418,7 +418,7 @@ ORACLES = {
     "label_frequency": f"WITH {_EXAMPLES}, f AS (SELECT unnest(labels) AS label FROM examples) SELECT label, count(*) AS n FROM f GROUP BY label ORDER BY n DESC, label LIMIT 12",
     "split_report": f"WITH {_EXAMPLES} SELECT split, source, count(*) AS n, count(*) FILTER (len(labels) > 1) AS multi_label FROM examples GROUP BY ALL",
     "provision_labels": "SELECT c_custkey, CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(PROVISION_LABELS)) + f" ELSE '{UNKNOWN}' END AS clause_type FROM customer",
-    "answer_explode": """WITH a AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+')[1:3] AS w FROM documents),
+    "answer_explode": """WITH a AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Z][a-z]+') AS w FROM documents),
         e AS (SELECT doc_id, text, CAST(generate_subscripts(w, 1) - 1 AS INT) AS pos, unnest(w) AS answer FROM a) SELECT doc_id, pos, answer, CAST(strpos(text, answer) - 1 AS INT) AS answer_start FROM e""",
     "title_keywords": """WITH t AS (SELECT DISTINCT lower(string_split(text, chr(10))[1]) AS title FROM documents), k AS (SELECT unnest(['th', 'on', 'er', 'ing', 'ción', 'ment', 'ung', 'xyz']) AS keyword)
         SELECT keyword, count(*) AS titles FROM t, k WHERE contains(title, keyword) GROUP BY keyword""",
@@ -440,8 +440,9 @@ ORACLES = {
     "document_opening": f"SELECT doc_id, md5(array_to_string(string_split({_COLLAPSE.replace('{0}', 'text')}, ' ')[1:512], ' ')) AS opening_md5 FROM documents",
     "text_hash": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
     "split_file_mismatch": f"WITH {_EXAMPLES} SELECT doc_id, 'val' AS file, split FROM examples WHERE doc_id % 19 = 0 AND split <> 'val'",
-    "tfidf_top_terms": """WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), t AS (SELECT id, term, count(*) AS tf FROM w WHERE length(term) >= 2 GROUP BY ALL),
-        d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(DISTINCT item_id) AS docs FROM benchmark),
+    "tfidf_top_terms": """WITH l AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS words FROM documents),
+        w AS (SELECT id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS term FROM l), t AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL),
+        d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS docs FROM documents),
         r AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + docs) / (1 + df)) + 1) AS w FROM t JOIN d USING (term), n),
         x AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM r),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS INT) AS nth FROM x) SELECT id, nth, term, round(weight, 6) AS weight FROM k WHERE nth <= 3""",

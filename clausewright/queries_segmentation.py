@@ -319,7 +319,7 @@ ORACLES = {
     "html_blocks": f"WITH {_HTML}, b AS ({_blocks_sql('items', 'page_id', _TYPES)}) SELECT page_id, ord, block_id, type, char_start, char_end, text FROM b",
     "block_start_markers": f"WITH {_CORPUS} SELECT doc_id, source_offset, family, marker FROM marked",
     "parsed_markers": f"""WITH {_CORPUS} SELECT doc_id, source_offset, {_DOT} AS path, array_to_string(alt, '.') AS alt, len(list_filter(rd, lambda p: p[len(p)] = 1)) > 0 AS starts FROM readings""",
-    "roman_values": f"""WITH words AS (SELECT unnest(string_split(lower(string_split(text, chr(10))[1]), ' ')) AS word FROM documents), told AS (SELECT word, {_roman('word')} AS value FROM words)
+    "roman_values": f"""WITH words AS (SELECT unnest(regexp_split_to_array(lower(text), '[ \n]')) AS word FROM documents), told AS (SELECT word, {_roman('word')} AS value FROM words)
         SELECT word, value, count(*) AS uses FROM told WHERE value IS NOT NULL GROUP BY ALL""",
     "sibling_pairs": f"{_NEXT} SELECT doc_id, source_offset, {_follows('rd', 'nx', 0)} AS strict, {_follows('rd', 'nx', 1)} AS skipping FROM pairs WHERE nx IS NOT NULL",
     "child_pairs": f"{_NEXT} SELECT doc_id, source_offset, {_opens('rd', 'nx')} AS child FROM pairs WHERE nx IS NOT NULL",

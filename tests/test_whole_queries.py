@@ -29,23 +29,19 @@ def told(rows):
 
 @pytest.mark.parametrize("name,columns", [("integrity_issues", ("doc_id", "code", "ref")), ("evidence_verify", ("kind", "failing"))])
 def test_facts_cover_all_lines(spark, duck, name, columns):
-    # The SQL's shortcuts for planted faults hold while texts are short.
-    assert duck.sql("SELECT max(len(string_split(text, chr(10)))), max(length(text)) FROM documents WHERE doc_id % 23 = 0 OR doc_id % 37 = 0 OR doc_id % 61 = 0").fetchall()[0] < (77, 100_000)
-    whole = duck.sql(queries.ORACLES[name].replace(" WHERE ord < 4", "")).select(*columns).fetchall()
+    whole = duck.sql(queries.ORACLES[name]).select(*columns).fetchall()
     assert told(queries.QUERIES[name](spark, SF).select(*columns).collect()) == told(whole)
 
 
-
 def test_every_answer_is_a_row(spark, duck):
-    whole = duck.sql(queries.ORACLES["answer_explode"].replace("[1:3]", "")).select("doc_id", "pos", "answer", "answer_start").fetchall()
+    whole = duck.sql(queries.ORACLES["answer_explode"]).select("doc_id", "pos", "answer", "answer_start").fetchall()
     rows = queries.QUERIES["answer_explode"](spark, SF).select("doc_id", "pos", "answer", "answer_start").collect()
     assert max(r.pos for r in rows) > 2
     assert told(rows) == told(whole)
 
 
 def test_roman_values_of_all_lines(spark, duck):
-    first = "string_split(lower(string_split(text, chr(10))[1]), ' ')"
-    whole = duck.sql(queries.ORACLES["roman_values"].replace(first, "regexp_split_to_array(lower(text), '[ \n]')")).select("word", "value", "uses").fetchall()
+    whole = duck.sql(queries.ORACLES["roman_values"]).select("word", "value", "uses").fetchall()
     assert told(queries.QUERIES["roman_values"](spark, SF).select("word", "value", "uses").collect()) == told(whole)
 
 
@@ -83,6 +79,6 @@ def test_capped_negatives_are_the_first(spark, cap):
 
 
 def test_bootstrap_draws_the_references_rounds(spark, duck):
-    whole = duck.sql(queries.ORACLES["bootstrap_ci"].replace("range(1, 51)", "range(1, 1001)")).select("low", "high", "rounds").fetchall()[0]
+    whole = duck.sql(queries.ORACLES["bootstrap_ci"]).select("low", "high", "rounds").fetchall()[0]
     row = queries.QUERIES["bootstrap_ci"](spark, SF).first()
     assert row.rounds == 1000 and (row.low, row.high, row.rounds) == pytest.approx(whole)
