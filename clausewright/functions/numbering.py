@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NONE = "cast(array() as array<int>)"
+_NONE = "cast(array() as array<bigint>)"
 _ROMAN = (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000))
 
 
@@ -29,19 +29,21 @@ def alpha_value(text: Column) -> Column:
 
 
 def _roman_or_int(token: Column) -> Column:
-    return F.when(token.rlike(r"^\d+$"), token.try_cast("int")).otherwise(parse_roman(token))
+    return F.when(token.rlike(r"^\d+$"), token.try_cast("bigint")).otherwise(parse_roman(token).cast("bigint"))
 
 
 def _path(value: Column) -> Column:
-    return F.when(value > 0, F.array(value)).otherwise(F.expr(_NONE))
+    return F.when(value > 0, F.array(value.cast("bigint"))).otherwise(F.expr(_NONE))
 
 
 def parse_marker(family: Column, marker: Column) -> Column:
-    """struct(path, alt): the number's parts, empty if it has none, and a second
-    reading for single lower-case letters that are Roman numerals too."""
+    """struct(path, alt): the number's parts, empty if it has none or one of them has
+    more digits than 64 bits hold, and a second reading for single lower-case letters
+    that are Roman numerals too."""
     token = F.element_at(F.split(marker, r"\s+"), -1)
     inner = F.regexp_extract(marker, r"\(([^)]*)\)", 1)
-    digits = F.transform(F.regexp_extract_all(marker, F.lit(r"\d+"), F.lit(0)), lambda d: d.try_cast("int"))
+    numbers = F.transform(F.regexp_extract_all(marker, F.lit(r"\d+"), F.lit(0)), lambda d: d.try_cast("bigint"))
+    digits = F.when(F.exists(numbers, lambda d: d.isNull()), F.expr(_NONE)).otherwise(numbers)
     single = F.length(inner) == 1
     path = (
         F.when(family == "article", _path(_roman_or_int(token)))
@@ -73,7 +75,7 @@ def is_sibling_successor(a: Column, b: Column, max_skip: int = 0) -> Column:
 
 def is_child_start(a: Column, b: Column) -> Column:
     """Whether b is a's number with a 1 behind it."""
-    return F.exists(readings(a), lambda pa: F.exists(readings(b), lambda pb: pb == F.concat(pa, F.array(F.lit(1)))))
+    return F.exists(readings(a), lambda pa: F.exists(readings(b), lambda pb: pb == F.concat(pa, F.array(F.lit(1).cast("bigint")))))
 
 
 def starts_sequence(a: Column) -> Column:

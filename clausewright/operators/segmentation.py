@@ -2,7 +2,7 @@
 
 Markers and numbers are column expressions. Placing a marker needs the stack of open
 clauses, so one Arrow function decodes a document's markers, an array on its row; the
-rest is windows and array functions again. Nothing is shuffled but by document.
+rest is array functions on that row again. Nothing is shuffled but by document.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from clausewright.functions.markers import block_start_marker, family_name, scan
 from clausewright.functions.numbering import parse_marker
+from clausewright.sources.blocks import SEPARATOR
 
 BODY_RUN = 100
+_NO_SPANS = "cast(array() as array<struct<start: int, end: int>>)"
 PAREN = ("paren-lower", "paren-upper", "paren-num")
 
 NODE = T.StructType(
@@ -23,11 +25,15 @@ NODE = T.StructType(
         T.StructField("ord", T.IntegerType()),
         T.StructField("marker", T.StringType()),
         T.StructField("family", T.StringType()),
-        T.StructField("path", T.ArrayType(T.IntegerType())),
+        T.StructField("path", T.ArrayType(T.LongType())),
         T.StructField("depth", T.IntegerType()),
         T.StructField("parent", T.IntegerType()),
         T.StructField("char_start", T.IntegerType()),
         T.StructField("next_start", T.IntegerType()),
+        T.StructField("child_start", T.IntegerType()),
+        T.StructField("block", T.IntegerType()),
+        T.StructField("next_block", T.IntegerType()),
+        T.StructField("child_block", T.IntegerType()),
     ]
 )
 
@@ -66,10 +72,10 @@ def body_start(starts: DataFrame, lengths: DataFrame, key: str = "doc_id") -> Da
 
 
 class _Marker:
-    __slots__ = ("alt", "family", "offset", "path", "text")
+    __slots__ = ("alt", "block", "family", "offset", "path", "text")
 
     def __init__(self, row: dict) -> None:
-        self.offset, self.text, self.family = row["source_offset"], row["marker"], row["family"]
+        self.offset, self.text, self.family, self.block = row["source_offset"], row["marker"], row["family"], row["block"]
         self.path, self.alt = row["number"]["path"], row["number"]["alt"]
 
     @property
@@ -137,8 +143,9 @@ def _place(stack: list[_Marker], m: _Marker) -> int | None:
 
 
 def decode_markers(rows: list[dict] | None, length: int) -> list[dict]:
-    """The clause nodes of one document's block-start markers; next_start: where the
-    next node that is no deeper starts, null if there is none."""
+    """The clause nodes of one document's block-start markers. next_start: where the
+    next node that is no deeper starts, child_start: where the first child does, null
+    if there is none; block, next_block and child_block: the blocks they start in."""
     markers = [_Marker(r) for r in rows or []]
     stack: list[_Marker] = []
     open_ids: list[int] = []
@@ -148,20 +155,23 @@ def decode_markers(rows: list[dict] | None, length: int) -> list[dict]:
         if depth is None:
             continue
         for closed in open_ids[depth:]:
-            nodes[closed]["next_start"] = m.offset
+            nodes[closed]["next_start"], nodes[closed]["next_block"] = m.offset, m.block
         del stack[depth:], open_ids[depth:]
         path = m.path
         if depth and m.family in ("section", "hier-decimal") and stack[0].family == "article" and path[0] != stack[0].path[0]:
             path = [stack[0].path[0], *path[1:]]
-        nodes.append({"ord": len(nodes), "marker": m.text, "family": m.family, "path": path, "depth": depth, "parent": open_ids[-1] if open_ids else None, "char_start": m.offset, "next_start": None})
+        parent = open_ids[-1] if open_ids else None
+        if parent is not None and nodes[parent]["child_start"] is None:
+            nodes[parent]["child_start"], nodes[parent]["child_block"] = m.offset, m.block
+        node = dict.fromkeys(NODE.names)
+        nodes.append(node | {"ord": len(nodes), "marker": m.text, "family": m.family, "path": path, "depth": depth, "parent": parent, "char_start": m.offset, "block": m.block})
         stack.append(m)
         open_ids.append(len(nodes) - 1)
     return nodes
 
 
-_NODE_TYPE = pa.list_(
-    pa.struct([("ord", pa.int32()), ("marker", pa.string()), ("family", pa.string()), ("path", pa.list_(pa.int32())), ("depth", pa.int32()), ("parent", pa.int32()), ("char_start", pa.int32()), ("next_start", pa.int32())])
-)
+_ARROW = {T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
+_NODE_TYPE = pa.list_(pa.struct([(f.name, _ARROW[f.dataType]) for f in NODE.fields]))
 
 
 @F.arrow_udf(T.ArrayType(NODE))
@@ -174,12 +184,22 @@ def text_lengths(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return blocks.groupBy(key).agg(F.max("char_end").alias("text_length"))
 
 
-def clause_nodes(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text_length and one row per clause node."""
+def document_trees(blocks: DataFrame, key: str = "doc_id", with_blocks: bool = False) -> DataFrame:
+    """One row per document: key, text_length, nodes and, if asked for, blocks: an
+    array of (ord, page, char_start, char_end, text) in order."""
     marked = blocks.withColumn("_m", block_start_marker(F.col("text"))).withColumn("_number", parse_marker(F.col("_m.family"), F.col("_m.marker")))
-    entry = F.struct((F.col("char_start") + F.col("_m.start")).alias("source_offset"), F.col("_m.marker").alias("marker"), F.col("_m.family").alias("family"), F.col("_number").alias("number"))
-    docs = marked.groupBy(key).agg(F.max("char_end").alias("text_length"), F.array_sort(F.collect_list(F.when(F.col("_m").isNotNull(), entry))).alias("markers"))
-    return docs.select(key, "text_length", F.inline(decode("markers", "text_length")))
+    entry = F.struct(
+        (F.col("char_start") + F.col("_m.start")).alias("source_offset"), F.col("_m.marker").alias("marker"), F.col("_m.family").alias("family"), F.col("_number").alias("number"), F.col("ord").alias("block")
+    )
+    listed = [F.array_sort(F.collect_list(F.struct("ord", "page", "char_start", "char_end", "text"))).alias("blocks")] if with_blocks else []
+    docs = marked.groupBy(key).agg(F.max("char_end").alias("text_length"), F.array_sort(F.collect_list(F.when(F.col("_m").isNotNull(), entry))).alias("markers"), *listed)
+    return docs.withColumn("nodes", decode("markers", "text_length")).drop("markers")
+
+
+def clause_nodes(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, text_length and one row per clause node. blocks: ord counts each document's
+    blocks from 0, as canonicalise gives it."""
+    return document_trees(blocks, key).select(key, "text_length", F.inline("nodes")).drop("child_start", "block", "next_block", "child_block")
 
 
 def with_inclusive_ends(nodes: DataFrame) -> DataFrame:
@@ -189,7 +209,7 @@ def with_inclusive_ends(nodes: DataFrame) -> DataFrame:
 
 def direct_pieces(start: Column, end: Column, holes: Column) -> Column:
     """[start, end) without the holes, an array of struct(start, end) in order."""
-    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    none = F.expr(_NO_SPANS)
 
     def step(acc: Column, h: Column) -> Column:
         gap = F.struct(acc["at"].alias("start"), h["start"].alias("end"))
@@ -218,7 +238,7 @@ def number(marker: Column, path: Column) -> Column:
     digits = F.regexp_extract(shown, r"\d+", 0)
     at = F.instr(shown, digits)
     rebased = F.concat(F.substring(shown, F.lit(1), at - 1), F.get(path, F.lit(0)).cast("string"), F.substring(shown, at + F.length(digits), F.length(shown)))
-    return F.when((digits != "") & (digits.try_cast("int") != F.get(path, F.lit(0))), rebased).otherwise(shown)
+    return F.when((digits != "") & (digits.try_cast("bigint") != F.get(path, F.lit(0))), rebased).otherwise(shown)
 
 
 def heading(direct: Column, marker: Column) -> Column:
@@ -229,22 +249,49 @@ def heading(direct: Column, marker: Column) -> Column:
     return F.when(F.length(first).between(1, 100), first)
 
 
-def page_evidence(clauses: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, ord, page, char_start, char_end: what a clause covers on each page, from
-    the overlap of its span with the page's blocks."""
-    pages = blocks.select(key, "page", F.col("char_start").alias("b_start"), F.col("char_end").alias("b_end"))
-    met = clauses.select(key, "ord", "char_start", "char_end").join(pages, key).filter("b_start < char_end and b_end > char_start")
-    return met.groupBy(key, "ord", "page").agg(
-        F.min(F.greatest("char_start", "b_start")).alias("char_start"), F.max(F.least("char_end", "b_end")).alias("char_end")
-    )
+def page_evidence(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, page, char_start, char_end: what a clause covers on each page. A
+    clause's blocks are a run of its document's, so each looks at its own run only."""
 
+    def covered(n: Column) -> Column:
+        end = F.coalesce(n["next_start"], F.col("text_length"))
+        met = F.filter(_run(n["block"], F.coalesce(n["next_block"] + 1, F.size("blocks"))), lambda b: (b["char_start"] < end) & (b["char_end"] > n["char_start"]))
+        return F.transform(met, lambda b: F.struct(n["ord"].alias("ord"), b["page"].alias("page"), F.greatest(n["char_start"], b["char_start"]).alias("char_start"), F.least(end, b["char_end"]).alias("char_end")))
 
-def segment(blocks: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All clauses of all documents: spans, role, number, heading and text."""
-    nodes = with_direct_spans(with_inclusive_ends(clause_nodes(blocks, key)), key)
-    told = nodes.join(documents.select(key, F.col("text").alias("_text")), key)
-    part = F.substring(F.col("_text"), F.col("direct_spans")[0]["start"] + 1, F.col("direct_spans")[0]["end"] - F.col("direct_spans")[0]["start"])
-    return told.select(
+    each = document_trees(blocks, key, True).select(key, F.inline(F.flatten(F.transform("nodes", covered))))
+    return each.groupBy(key, "ord", "page").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+
+
+def _run(first: Column, end: Column) -> Column:
+    """Blocks first to end, end exclusive."""
+    return F.slice("blocks", first + 1, end - first)
+
+
+def _text(n: Column, end: Column, end_block: Column) -> Column:
+    """The text from a node's start to end, which lies in block end_block or, if that
+    is null, at the document's end. Only the blocks between are read."""
+    start = F.get("blocks", n["block"])["char_start"]
+    last = F.coalesce(end_block + 1, F.size("blocks"))
+    joined = F.array_join(F.transform(_run(n["block"], last), lambda b: b["text"]), SEPARATOR)
+    return F.substring(joined, n["char_start"] - start + 1, end - n["char_start"])
+
+
+def segment(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All clauses of all documents: spans, role, number, heading and text. A document
+    is one row from its blocks to its clauses; each clause takes its text from the
+    blocks it covers, and rows come apart last. Children fill their parent's span from
+    the first one on, so what is directly a clause's own is what lies before it."""
+    end = lambda n: F.coalesce(n["next_start"], F.col("text_length"))
+    own_end = lambda n: F.coalesce(n["child_start"], end(n))
+    told = lambda n: F.struct(
+        *[n[c].alias(c) for c in ("ord", "marker", "family", "path", "depth", "parent", "char_start")],
+        end(n).alias("char_end"),
+        F.when(own_end(n) > n["char_start"], F.array(F.struct(n["char_start"].alias("start"), own_end(n).alias("end")))).otherwise(F.expr(_NO_SPANS)).alias("direct_spans"),
+        _text(n, own_end(n), F.coalesce(n["child_block"], n["next_block"])).alias("part"),
+        _text(n, end(n), n["next_block"]).alias("text"),
+    )
+    rows = document_trees(blocks, key, True).select(key, "text_length", F.inline(F.transform("nodes", told)))
+    return rows.select(
         key,
         F.concat(F.lit("cl-"), F.col("ord").cast("string")).alias("clause_id"),
         "ord",
@@ -254,11 +301,11 @@ def segment(blocks: DataFrame, documents: DataFrame, key: str = "doc_id") -> Dat
         "family",
         role(F.col("family")).alias("role"),
         number(F.col("marker"), F.col("path")).alias("number"),
-        F.when(F.size("direct_spans") > 0, heading(part, F.col("marker"))).alias("heading"),
+        F.when(F.size("direct_spans") > 0, heading(F.col("part"), F.col("marker"))).alias("heading"),
         "path",
         "char_start",
         "char_end",
         "direct_spans",
         "text_length",
-        F.substring(F.col("_text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("text"),
+        "text",
     )

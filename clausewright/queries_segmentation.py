@@ -27,8 +27,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = _blocks(spark, sf)
-    return seg.segment(blocks, src.documents_of(blocks))
+    return seg.segment(_blocks(spark, sf))
 
 
 def canonicalise_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +127,7 @@ def clause_headings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clause_page_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return seg.page_evidence(_nodes(spark, sf), _blocks(spark, sf)).select("doc_id", "ord", F.col("page").cast("int").alias("page"), "char_start", "char_end")
+    return seg.page_evidence(_blocks(spark, sf)).select("doc_id", "ord", F.col("page").cast("int").alias("page"), "char_start", "char_end")
 
 
 def segmented_clauses(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,12 +24,12 @@ def segment_rows(documents: DataFrame) -> DataFrame:
 
     def step(acc, piece):  # noqa: ANN001, ANN202
         marker = block_start_marker(piece)
-        entry = F.struct((acc["at"] + marker["start"]).alias("source_offset"), marker["marker"].alias("marker"), marker["family"].alias("family"))
-        return F.struct((acc["at"] + F.length(piece) + len(SEPARATOR)).alias("at"), F.when(marker.isNotNull(), F.concat(acc["out"], F.array(entry))).otherwise(acc["out"]).alias("out"))
+        entry = F.struct((acc["at"] + marker["start"]).alias("source_offset"), marker["marker"].alias("marker"), marker["family"].alias("family"), acc["block"].alias("block"))
+        return F.struct((acc["at"] + F.length(piece) + len(SEPARATOR)).alias("at"), (acc["block"] + 1).alias("block"), F.when(marker.isNotNull(), F.concat(acc["out"], F.array(entry))).otherwise(acc["out"]).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<source_offset: int, marker: string, family: string>>)")
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    told = F.transform("found", lambda m: F.struct(m["source_offset"].alias("source_offset"), m["marker"].alias("marker"), m["family"].alias("family"), parse_marker(m["family"], m["marker"]).alias("number")))
+    none = F.expr("cast(array() as array<struct<source_offset: int, marker: string, family: string, block: int>>)")
+    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit(0).alias("block"), none.alias("out")), step, lambda a: a["out"])
+    told = F.transform("found", lambda m: F.struct(m["source_offset"].alias("source_offset"), m["marker"].alias("marker"), m["family"].alias("family"), parse_marker(m["family"], m["marker"]).alias("number"), m["block"].alias("block")))
     rows = documents.withColumn("found", found).select("doc_id", F.length("text").alias("text_length"), told.alias("markers"))
     nodes = rows.select("doc_id", F.inline(decode("markers", "text_length")))
     return nodes.select("doc_id", "ord", "depth", "parent", role(F.col("family")).alias("role"), number(F.col("marker"), F.col("path")).alias("number"), "char_start")

@@ -19,7 +19,7 @@ def blocks(spark, *docs):
 
 
 def tree(spark, *texts):
-    rows = seg.segment(b := blocks(spark, texts), src.documents_of(b)).orderBy("ord").collect()
+    rows = seg.segment(blocks(spark, texts)).orderBy("ord").collect()
     return [(r.number, r.depth, r.parent_id) for r in rows]
 
 
@@ -68,7 +68,7 @@ def test_schedules_are_regions_of_their_own(spark):
 def test_spans_and_headings(spark):
     b = blocks(spark, ["ARTICLE I", "1.1. Term.", "1.2. Rent. " + B, "(a) the part"])
     doc = src.documents_of(b).first().text
-    rows = seg.segment(b, src.documents_of(b)).orderBy("ord").collect()
+    rows = seg.segment(b).orderBy("ord").collect()
     assert [r.heading for r in rows] == [None, "Term", "Rent", "the part"]
     for r in rows:
         assert doc[r.char_start : r.char_end] == r.text
@@ -135,10 +135,44 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_ends_of_deep_clauses(spark):
     b = blocks(spark, ["ARTICLE I", "1.1 " + B, *["(a) " + B] * 15, "1.2 " + B, "ARTICLE II", "2.1 " + B])
-    rows = seg.segment(b, src.documents_of(b)).orderBy("ord").collect()
+    rows = seg.segment(b).orderBy("ord").collect()
     assert [r.depth for r in rows] == [0, 1, *range(2, 17), 1, 0, 1]
     for i, r in enumerate(rows):
         assert r.char_end == next((x.char_start for x in rows[i + 1 :] if x.depth <= r.depth), r.text_length)
     ended = seg.with_inclusive_ends(seg.clause_nodes(b))
     assert trust.tree_issues(ended).collect() == []
     assert trust.confidence(ended).first().score == 1.0
+
+
+def test_large_numbers(spark):
+    rows = seg.segment(blocks(spark, ["1.1 " + B, "1.12345678901 " + B, "1.12345678902 " + B, "1.99999999999999999999 " + B, "1.2 " + B])).orderBy("ord").collect()
+    assert [r.path for r in rows] == [[1, 1], [1, 2]]
+    rows = seg.segment(blocks(spark, ["1.12345678901 " + B, "1.12345678902 " + B])).orderBy("ord").collect()
+    assert [(r.path, r.depth) for r in rows] == [([1, 12345678901], 0), ([1, 12345678902], 0)]
+
+
+def brute_segments(texts, nodes):
+    """Ends, own parts and pages' worth of text of placed nodes, by plain loops."""
+    whole = "\n\n".join(texts)
+    out = []
+    for i, n in enumerate(nodes):
+        end = next((x.char_start for x in nodes[i + 1 :] if x.depth <= n.depth), len(whole))
+        kids = [x.char_start for x in nodes[i + 1 :] if x.parent == n.ord]
+        own = min([end, *kids])
+        out.append((n.ord, end, whole[n.char_start : end], [(n.char_start, own)] if own > n.char_start else []))
+    return out
+
+
+def test_segments_equal_brute_force(spark):
+    rng = random.Random(9)
+    heads = ["ARTICLE I", "ARTICLE II", "ARTICLE III", "  1.1", "1.2", "2.1", "3.1", "(a)", " (b)", "(i)", "(1)", "(2)", "Schedule A", "Section 2.2", "plain", "é 😀"]
+    docs = [[f"{rng.choice(heads)} {rng.choice(['', 'x. y', B])}" for _ in range(rng.randint(1, 40))] for _ in range(30)]
+    b = blocks(spark, *docs)
+    got = seg.segment(b).collect()
+    spans = seg.with_direct_spans(seg.with_inclusive_ends(seg.clause_nodes(b)))
+    pieces = {(r.doc_id, r.ord): [tuple(s) for s in r.direct_spans] for r in spans.collect()}
+    for d, texts in enumerate(docs):
+        rows = sorted((r for r in got if r.doc_id == d), key=lambda r: r.ord)
+        want = brute_segments(texts, rows)
+        assert [(r.ord, r.char_end, r.text, [tuple(s) for s in r.direct_spans]) for r in rows] == want
+        assert all(pieces[d, r.ord] == [tuple(s) for s in r.direct_spans] for r in rows)
