@@ -337,12 +337,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, s
     pairs = durable(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = durable(_sets_of(docs, firsts.join(nodes, "node", "left_semi"), size), "sets")
-    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_ONE).cast("int").alias("parts"))
-    spread = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_ONE).cast("int").alias("parts")).filter("parts > 1")
+    spread = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).join(counts, "b")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = spread.join(left, "a").join(right, ["b", "part"])
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    copies = right.join(hot, "b").select("b", "sb", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"))
+    both = spread.join(left, "a").join(right.withColumn("part", F.lit(0)).unionByName(copies), ["b", "part"])
     shared = F.size(F.array_intersect("sa", "sb"))
     links = durable(both.filter(100 * shared >= share * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "links")
     discard(spark, pairs, sets)
