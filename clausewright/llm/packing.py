@@ -11,7 +11,8 @@ a pattern by arithmetic on the rank, so no task sees more than one salted part o
 length.
 
 The program has at most capacity / GRAIN lengths, so its size does not depend on the
-input; only a histogram of (length, salt) counts reaches the driver.
+input; only a histogram of (length, salt) counts reaches the driver, with one salt for
+every RANKED pieces of a length.
 
 Defined cases: a null or empty text has the end token alone; a document longer than a
 sequence is cut, any other stays whole unless it tops up others; repeated rows are
@@ -38,8 +39,8 @@ from clausewright.llm.durable import durable
 CAPACITY = 2048
 END_TOKEN = 1
 GRAIN = 8
-#: Parts that a length's remainders are ranked in.
-SALTS = 64
+#: Pieces of a length that are ranked together, on average.
+RANKED = 200_000
 #: Patterns added to the program at most.
 ROUNDS = 4000
 #: The search ends when the program's value is within this share of its lower bound.
@@ -143,20 +144,20 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[dict[int,
     patterns = [{int(r): capacity // (int(r) + 1)} for r in rows]
     basis = list(range(len(rows)))
     inverse = np.diag([1 / p[int(r)] for p, r in zip(patterns, rows, strict=True)])
-    uses = inverse @ demand[rows]
+    uses = (inverse * demand[rows]).sum(axis=1)
     best = (np.arange(len(demand)) + 1) / capacity * (demand > 0)
     for turn in range(1, ROUNDS + 1):
         if turn % 200 == 0:  # rounding errors would add up
-            inverse = np.linalg.inv(_matrix(patterns, basis, at))
-            uses = np.maximum(0, inverse @ demand[rows])
-        if uses.sum() - best @ demand <= max(TOLERANCE * uses.sum(), 0.5):
+            inverse = _inverted(_matrix(patterns, basis, at))
+            uses = np.maximum(0, (inverse * demand[rows]).sum(axis=1))
+        if uses.sum() - (best * demand).sum() <= max(TOLERANCE * uses.sum(), 0.5):
             break
         prices = np.zeros(len(demand))
         prices[rows] = inverse.sum(axis=0)
         for share in (SMOOTHING, 0.0):
             mean = np.maximum(0, share * best + (1 - share) * prices)
             worth, pattern = price_pattern(mean, demand, capacity)
-            if worth > 0 and mean @ demand / worth > best @ demand:
+            if worth > 0 and (mean * demand).sum() / worth > (best * demand).sum():
                 best = mean / worth
             gain = sum(prices[i] * n for i, n in pattern.items()) - 1
             if gain > 1e-9:
@@ -166,7 +167,7 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[dict[int,
         column = np.zeros(len(rows))
         for length, copies in pattern.items():
             column[at[length]] = copies
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratios = np.where(direction > 1e-9, uses / direction, np.inf)
         leave = int(ratios.argmin())
@@ -183,6 +184,21 @@ def column_generation(demand: np.ndarray, capacity: int) -> list[tuple[dict[int,
     return [(patterns[b], float(u)) for b, u in zip(basis, uses, strict=True) if u > 1e-9]
 
 
+def _inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss and Jordan's inverse by rows. Nothing here calls a threaded library: its
+    threads and the driver's others slow each other down a thousandfold."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
 def _matrix(patterns: list[dict[int, int]], basis: list[int], at: dict[int, int]) -> np.ndarray:
     matrix = np.zeros((len(basis), len(basis)))
     for column, b in enumerate(basis):
@@ -224,17 +240,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     spark = pieces.sparkSession
     bins = capacity // grain
     kind = F.when(F.col("length") == capacity, F.lit(-1)).otherwise(F.ceil(F.col("length") / grain).cast("int") - 1)
-    salted = pieces.withColumns({"_bin": kind, "_salt": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")})
+    binned = pieces.withColumn("_bin", kind)
+    held = {r[0]: r[1] for r in binned.groupBy("_bin").count().collect()}
+    salts = [max(1, -(-held.get(b, 0) // RANKED)) for b in range(-1, bins)]
+    parts = F.get(F.from_json(F.lit(json.dumps(salts)), "array<int>"), F.col("_bin") + 1)
+    place = F.xxhash64("doc_id", "start", "ids_crc32", *(["_copy"] if "_copy" in pieces.columns else []))
+    salted = binned.withColumn("_salt", F.pmod(place, parts).cast("int"))
     counts = {(r[0], r[1]): r[2] for r in salted.groupBy("_bin", "_salt").count().collect()}
-    demand = [sum(counts.get((b, s), 0) for s in range(SALTS)) for b in range(bins)]
+    demand = [held.get(b, 0) for b in range(bins)]
     first, bases = {}, []
     for b in range(-1, bins):
         run = 0
-        for s in range(SALTS):
+        for s in range(salts[b + 1]):
             first[b, s] = run
             run += counts.get((b, s), 0)
-        bases.append([first[b, s] for s in range(SALTS)])
-    full = sum(counts.get((-1, s), 0) for s in range(SALTS))
+        bases.append([first[b, s] for s in range(salts[b + 1])])
+    full = held.get(-1, 0)
     slots, sequence, taken = [], full, [0] * bins
     for pattern, times in plan_sequences(demand, bins):
         place = 0
@@ -260,10 +281,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     )
     order = Window.partitionBy("sequence_id").orderBy("_place")
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return placed.withColumn("offset", before).drop("_bin", "_salt", "_rank", "_slot", "_place")
+    return placed.withColumn("offset", before).drop("_bin", "_salt", "_rank", "_slot", "_place", "_copy")
 
 
 def pack_documents(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece of every document, with its place. The tokens are made once
     and kept in a durable table."""
-    return pack(durable(token_pieces(df, path, pattern, capacity, with_ids), "token-pieces"), capacity)
+    pieces = token_pieces(df, path, pattern, capacity, with_ids).withColumn("_copy", F.monotonically_increasing_id())
+    return pack(durable(pieces, "token-pieces"), capacity)

@@ -13,8 +13,13 @@ from clausewright.llm import packing, queries
 PATH = P.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache
+def library():
+    return Tokenizer.from_file(PATH)
+
+
 def library_ids(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [1]
+    return library().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check_places(rows, capacity=2048):
