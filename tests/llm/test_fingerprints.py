@@ -73,3 +73,19 @@ def test_containment(spark):
         fp.containment(fp.sketch(F.lit("")), fp.sketch(F.lit("a"))).alias("e"),
     ).first()
     assert row.c == 1.0 and row.e == 1.0
+
+
+def test_hot_ids_and_rows_repeated_in_full(spark):
+    rng = random.Random(4)
+    rows = [(5, f"text {i} " + "w " * rng.randint(0, 30)) for i in range(300)] + [(None, f"none {i}") for i in range(100)]
+    rows += [(5, "the same row")] * 200 + [(None, None)] * 50 + [(i, f"own {i}") for i in range(6, 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_range", F.lit(1)).withColumn("h", F.lit(2)).repartition(6)
+    keyed = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("t")).collect()
+    order = [t for _, _, t in sorted((r.k, r.h, r.t) for r in keyed)]
+    want = []
+    for i, t in enumerate(order):
+        half = len(t) // 2
+        want.append(hashlib.sha256((t[: len(t) - half] + order[(i + 1) % len(order)][:half]).encode()).hexdigest())
+    got = fp.fingerprint_edits(df).collect()
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
+    assert sum(r.doc_id is None for r in got) == 150 and sum(r.doc_id == 5 for r in got) == 500
