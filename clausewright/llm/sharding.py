@@ -5,15 +5,18 @@ it. A row's place is a hash of its text, so equal texts share a place and stay
 together while they fit. A slice belongs to the first point clockwise. A shard
 takes at most (1 + slack) of the mean load; what overflows continues clockwise to
 the next shard with room. Slices heavier than one SLICES-th of the whole, such as
-a text that a third of the rows repeat, are cut further by row id, so that no unit
-that moves is larger than that unless it is one row.
+a text that a third of the rows repeat, are cut further by row id, and what is still
+heavier then, as where rows are repeated in full, by the place of rows in the table
+of sizes. So no unit that moves is larger than about twice that unless it is one row.
 
-Only the loads of at most 2 * SLICES units reach the driver, whatever the input.
+Only the loads of at most 3 * SLICES units reach the driver, whatever the input.
 
 Defined cases: a null text counts as empty (size 1); a null id hashes as null;
-rows repeated in full are shards' rows like any other and get slots of their own;
+rows repeated in full are shards' rows like any other and get slots of their own, and
+are alike, so that it does not matter which of them is where; texts of any length are
+measured whole;
 a row larger than a shard's capacity goes to the shard with the least load; an
-empty table gives no rows. Columns other than id and text are ignored.
+empty table gives no rows. Columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -83,10 +86,11 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = durable(
         df.select(
-            F.col(id_col),
+            F.col(id_col).alias("_id"),
             (F.octet_length(text) + 1).cast("bigint").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.shiftrightunsigned(F.xxhash64(text), 64 - SLICE_BITS).cast("int").alias("_slice"),
+            F.monotonically_increasing_id().alias("_row"),  # a value of the written table, whatever runs again later
         ),
         "shard-sizes",
     )
@@ -97,8 +101,21 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     for i, n in enumerate(parts):
         first.append(len(slice_of))
         slice_of |= {len(slice_of) + k: i for k in range(n)}
-    within = F.pmod(F.xxhash64(F.col(id_col), F.lit("within a slice")), _lookup(parts, F.col("_slice")))
+    within = F.pmod(F.xxhash64("_id", F.lit("within a slice")), _lookup(parts, F.col("_slice")))
     units = rows.withColumn("_unit", (_lookup(first, F.col("_slice")) + within).cast("int"))
+    most = 2 * max(1, total // SLICES)
+    heavy = units.groupBy("_unit").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).filter((F.col("size") > most) & (F.col("n") > 1))
+    cuts = [1] * len(slice_of)
+    for unit, size, n in heavy.collect():  # at most SLICES / 2 of them
+        cuts[unit] = min(n, -(-size * SLICES // total))
+    starts, slice_of_part = [], {}
+    for unit, n in enumerate(cuts):
+        starts.append(len(slice_of_part))
+        slice_of_part |= {len(slice_of_part) + k: slice_of[unit] for k in range(n)}
+    if heavy_units := len(slice_of_part) > len(slice_of):
+        part = F.pmod(F.xxhash64("_row"), _lookup(cuts, F.col("_unit")))
+        units = units.withColumn("_unit", (_lookup(starts, F.col("_unit")) + part).cast("int"))
+    slice_of = slice_of_part if heavy_units else slice_of
     counted = {r[0]: (r[1], r[2]) for r in units.groupBy("_unit").agg(F.sum("size"), F.count(F.lit(1))).collect()}
     placed = place_units({u: s for u, (s, _) in counted.items()}, slice_of, shards, slack)
     taken = [0] * shards
@@ -106,9 +123,9 @@ def shard_rows(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     for unit in sorted(counted):
         shard_of[unit], base[unit] = placed[unit], taken[placed[unit]]
         taken[placed[unit]] += counted[unit][1]
-    inside = Window.partitionBy("_unit").orderBy(F.col(id_col), "text_crc32")
+    inside = Window.partitionBy("_unit").orderBy("_id", "text_crc32", "_row")
     return units.select(
-        id_col,
+        F.col("_id").alias(id_col),
         "size",
         "text_crc32",
         _lookup(shard_of, F.col("_unit")).cast("int").alias("shard"),

@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import pytest
@@ -65,3 +66,31 @@ def test_empty_table_and_query(spark):
     rows = queries.op2_sharding(spark, sf).collect()
     check(rows, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+
+
+def test_rows_repeated_in_full_are_split(spark):
+    data = [(7, "the same row " * 30)] * 2000 + [(None, None)] * 900 + [(i, f"text {i} " * 9) for i in range(1500)]
+    rows = rows_of(spark, data)
+    check(rows, data)
+    loads = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    assert max(loads) <= (1 + sharding.SLACK) * sum(loads) / 8 + 500
+
+
+def test_assignment_equals_a_plain_walk():
+    loads = {i: (i * 37) % 50 + 1 for i in range(300)}
+    at = {i: (i * 811) % sharding.SLICES for i in loads}
+    points = sorted({int.from_bytes(hashlib.sha256(f"shard {s} node {n}".encode()).digest()[:8], "big") % sharding.SLICES: s for s in reversed(range(5)) for n in reversed(range(sharding.VIRTUAL_NODES))}.items())
+    room = [1.05 * sum(loads.values()) / 5] * 5
+    want, later = {}, []
+    walk = lambda u: [s for p, s in points if p >= at[u]] + [s for p, s in points if p < at[u]]
+    order = sorted(loads, key=lambda u: (-loads[u], u))
+    for u in order:
+        s = walk(u)[0]
+        if loads[u] <= room[s]:
+            want[u], room[s] = s, room[s] - loads[u]
+        else:
+            later.append(u)
+    for u in later:
+        s = next(s for s in walk(u) if loads[u] <= room[s])
+        want[u], room[s] = s, room[s] - loads[u]
+    assert sharding.place_units(loads, at, 5, 0.05) == want
