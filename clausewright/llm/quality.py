@@ -8,14 +8,16 @@ driver adds them up and solves for the weights. Scores of a part of the sample t
 the weights did not see are calibrated to the share of label 1 by pooling adjacent
 violators, with straight lines between the pools.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, least hashes
-of the id first); every row is scored. Labels, ids and any other columns are no input
-of a score.
+The model is fitted on a bounded sample of labelled texts (SAMPLE_ROWS, least hashes
+of id and text first); every row is scored. Labels, ids and any other columns are no
+input of a score.
 
 Defined cases: a null text counts as empty; an empty text has all statistics 0 and a
 score like any other; texts are read whole; without labelled rows every score is 0.5;
-a null or repeated label row counts as it stands, null labels not at all; repeated
-documents have equal scores.
+null labels do not count; an id with several labels counts once with each; a document
+or label that is repeated in full counts once; equal texts have equal scores; an empty
+table gives no rows; other columns pass through, whatever their names but score and
+predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -122,8 +124,13 @@ class Model:
         return self.features(stats) @ self.weights
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        """Row by row: in a block, the last bits would depend on its other rows."""
-        raw = np.array([self.raw(stats[i : i + 1])[0] for i in range(len(stats))])
+        """Sums run over the statistics one by one, not by a matrix product, whose order
+        varies: a row's score does not depend on the rows beside it."""
+        z = np.clip((stats - self.mean) / self.scale, -8, 8)
+        angles = np.tile(self.phases, (len(z), 1))
+        for j in range(z.shape[1]):
+            angles += z[:, j : j + 1] * self.directions[j]
+        raw = self.weights[0] + (np.cos(angles) * (math.sqrt(2 / len(self.phases)) * self.weights[1:])).sum(axis=1)
         return np.clip(np.interp(raw, self.knots, self.levels), 0.0, 1.0)
 
 
@@ -143,17 +150,20 @@ def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """text, label and a fold of 0 (weights) or 1 (calibration) of a bounded sample."""
-    order = F.xxhash64(F.col(id_col), F.lit("quality sample"))
-    known = labels.select(id_col, F.col(label_col).cast("double").alias("_label")).filter("_label is not null").withColumn("_order", order)
-    last = known.orderBy("_order").limit(rows).agg(F.max("_order")).first()[0]
-    chosen = known.filter(F.col("_order") <= F.lit(last))
+    """text, label and a fold of 0 (weights) or 1 (calibration) of at most rows
+    different labelled texts, those with the least hashes of id and text."""
+    order = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("quality sample"))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).filter("_label is not null").distinct()
+    keyed = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), order.alias("_order")).join(known, "_id")
+    last = keyed.select("_order").distinct().orderBy("_order").limit(rows).agg(F.max("_order")).first()[0]
+    chosen = keyed.filter(F.col("_order") <= F.lit(last)).dropDuplicates(["_order", "_label"])
     fold = (F.pmod(F.shiftright("_order", 7), F.lit(4)) == 0).cast("int")
-    return df.select(id_col, F.col(text_col).alias("_text")).join(chosen, id_col).select("_text", "_label", fold.alias("_fold"))
+    return chosen.select("_text", "_label", fold.alias("_fold"))
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on at most rows labelled rows (ties of the hash may add some)."""
+    """Fit on at most rows labelled texts."""
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = [statistics(t) for t in batch.column(0).to_pylist()]
@@ -217,8 +227,8 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFra
         @arrow_udf("double")
         def rate(texts: pa.Array) -> pa.Array:
             parts = []
-            for start in range(0, len(texts), 1000):
-                stats = np.array([statistics(t) for t in texts.slice(start, 1000).to_pylist()])
+            for start in range(0, len(texts), 200):
+                stats = np.array([statistics(t) for t in texts.slice(start, 200).to_pylist()])
                 parts.append(model.score(stats))
             return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
