@@ -14,8 +14,8 @@ Defined cases: a null or empty text has no spans; texts are scanned whole; witho
 ordinary samples (an empty table) the models know only random strings and smoothing;
 spans of one kind never overlap, spans of several patterns may; a model's span never
 overlaps a pattern's: of a run that a pattern meets, the parts outside are judged
-together, and those likelier random are spans; repeated rows are scanned alike; columns other than those named
-are ignored.
+together, and those likelier random are spans; repeated rows are scanned alike; an empty table
+gives no rows; other columns pass through redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,12 +104,13 @@ def random_samples(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def document_samples(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct words of SAMPLE_DOCUMENTS documents, chosen by id: random where a pattern found
+    """Distinct words of SAMPLE_DOCUMENTS documents, those with the least hashes of id and text; one
+    that is repeated in full counts once. Words are random where a pattern found
     them, ordinary where RECURS different texts hold them, else left out, as what
     stands in one text alone may be a secret that no pattern knows."""
-    order = F.xxhash64(id_col, F.lit("secret samples"))
-    last = df.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
-    chosen = df.select(F.col(text_col).alias("_text")).filter(order <= F.lit(last))
+    keyed = df.select(F.xxhash64(id_col, text_col, F.lit("secret samples")).alias("_order"), F.col(text_col).alias("_text"))
+    last = keyed.select("_order").distinct().orderBy("_order").limit(SAMPLE_DOCUMENTS).agg(F.max("_order")).first()[0]
+    chosen = keyed.filter(F.col("_order") <= F.lit(last)).dropDuplicates(["_order"])
     spans = with_pattern_spans(chosen.select("_text"), "_text")
     inside = F.array_join(F.transform("_base", lambda s: F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"])), " ")
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), ACCESS, " "), HEX, " ")
@@ -202,5 +203,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """df with every secret in its texts replaced; length_col follows if named."""
-    clean = scan(df, id_col, text_col).withColumn(text_col, redacted(F.col(text_col), F.col("spans"))).drop("base", "spans")
-    return clean.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType)) if length_col else clean
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row"))
+    clean = scan(rows, "_id", "_text").withColumn("_text", redacted(F.col("_text"), F.col("spans")))
+    told = {text_col: F.col("_text")} | ({length_col: F.length("_text").cast(df.schema[length_col].dataType)} if length_col else {})
+    return clean.select(*[told.get(c, F.col("_row")[c]).alias(c) for c in df.columns])

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -86,3 +87,49 @@ def test_what_a_pattern_leaves_of_a_run_is_judged(spark, text, clean):
     rows = [(i, f"the_internationalization of_the_configuration the_token_{i} and other words of plain prose") for i in range(50)] + [(50, text)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert secret_scan.redact_secrets(df).filter("doc_id = 50").first().text == clean
+
+
+def test_markov_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    abc = secret_scan.ALPHABET
+    words = ["the_configuration", "internationalization", "of", "some-ordinary-identifier", "a/b/c/path/of/words/and/names"]
+    lines = [" ".join(rng.choice([*words, "".join(rng.choice(abc) for _ in range(rng.randint(5, 60))), "deadbeef" * 3, "é", "."]) for _ in range(25)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    model = secret_scan.train(secret_scan.document_samples(df, "doc_id", "text").unionByName(secret_scan.random_samples(spark)))
+    size = len(abc) + 1
+
+    def ratio(w):
+        codes = [0] + [abc.index(c) + 1 for c in w]
+        return sum(model[a * size + b] for a, b in zip(codes, codes[1:], strict=False))
+
+    got = {r.doc_id: r.s for r in secret_scan.scan(df, model=model).select("doc_id", secret_scan.told(F.col("spans")).alias("s")).collect()}
+    for i, text in enumerate(lines):
+        base = sorted((m.start(), k, m.end()) for k, (_, p, keep) in enumerate(PATTERNS) for m in p.finditer(text) if keep(m))
+        spans = list(base)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+            at, parts = m.start(), []
+            for s, _, e in [b for b in base if b[0] < m.end() and m.start() < b[2]]:
+                if s > at:
+                    parts.append((at, s))
+                at = max(at, e)
+            if at < m.end():
+                parts.append((at, m.end()))
+            random_parts = [(s, e, ratio(text[s:e])) for s, e in parts if ratio(text[s:e]) > 0]
+            if random_parts and sum(r for _, _, r in random_parts) >= secret_scan.THRESHOLD:
+                spans += [(s, 3, e) for s, e, _ in random_parts]
+        assert got[i] == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)), text
+    counts = {}
+    for r in secret_scan.document_samples(df, "doc_id", "text").unionByName(secret_scan.random_samples(spark)).collect():
+        codes = [0] + [abc.index(c) + 1 for c in r.word if c in abc]
+        for a, b in zip(codes, codes[1:], strict=False):
+            counts[r.random, a, b] = counts.get((r.random, a, b), 0) + 1
+    seen = {r: [sum(counts.get((r, a, b), 0) for a in range(size)) + 0.5 for b in range(size)] for r in (0, 1)}
+    share = lambda r, a, b: (counts.get((r, a, b), 0) + 20 * seen[r][b] / sum(seen[r])) / (sum(counts.get((r, a, c), 0) for c in range(size)) + 20)
+    for a, b in ((0, 5), (3, 8), (30, 55), (12, 12)):
+        assert abs(model[a * size + b] - round(math.log(share(1, a, b)) - math.log(share(0, a, b)), 4)) < 2e-4
+
+
+def test_rows_repeated_in_full_are_one_sample(spark):
+    df = spark.createDataFrame([(1, "token=abcdefghijklmnop and words")] * 3000 + [(2, "words")], "doc_id bigint, text string").repartition(4)
+    assert all(r.random == 1 for r in secret_scan.document_samples(df, "doc_id", "text").collect())
+    assert secret_scan.redact_secrets(df.withColumn("base", F.lit(1)).withColumn("_runs", F.lit("x"))).columns == ["doc_id", "text", "base", "_runs"]
