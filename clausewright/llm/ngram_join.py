@@ -64,6 +64,8 @@ FREQUENT_IN_PART = 2
 CLASS_RATIO = 1.05
 #: Pairs with one node that a task verifies.
 PAIRS_OF_ONE = 512
+#: Pairs left for an entry from which the first round of stars pays, and a later one.
+STARS_PAY = (1, 16)
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -381,7 +383,7 @@ def _node_labels(docs: DataFrame, counted: DataFrame, firsts: DataFrame, size: i
     left, n_left, pairs = _open_entries(found.withColumn("label", F.col("node")))
     discard(spark, found)
     turn, before = 0, None
-    while pairs > n_left and (before is None or pairs * 2 <= before):  # while stars pay; the rest is exact in any case
+    while pairs > STARS_PAY[turn > 0] * n_left and (before is None or pairs * 2 <= before):  # the rest is exact in any case
         new = _verified(_star_pairs(left, share, turn), docs, firsts, size, share)
         links = new if links is None else links.union(new)
         fresh, n_left, now = _open_entries(_with_component(left, connected_components(links)))
