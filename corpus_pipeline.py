@@ -5,46 +5,43 @@ near_dups  of documents whose five-word shingles are 80 % alike one stays
 secrets    secrets in the texts are replaced by a mark
 packing    what is left is cut into sequences of at most 2048 tokens
 
-Every stage but the last returns the columns of documents. Between stages the
-documents are a durable table, so each stage starts from what is on disk.
-
-Defined cases: rows without an id stay in near_dups, as no id says which of a group
-they are; rows that share an id stay together if one of them is the least of its
-group; full repeats of a kept row go. Null and empty texts pass every stage that does
-not reject them by score.
+Every stage but the last returns the columns that it was given, those of documents.
+Between stages the documents are a durable table, so each stage starts from what is on
+disk.
+
+Defined cases: of a group of near copies the row with the least id stays, of equal ids
+the one with the least text hash, of rows repeated in full one; null ids come last, and
+rows are told apart by id and text, so null or repeated ids hide no copy. Null and
+empty texts pass every stage that does not reject them by score, and rows without
+words are never copies. Texts of any length are read whole. Other columns of documents
+pass through all stages but the last, whatever their names; lang, source and n_chars may
+be missing. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm import ngram_join, quality, queries, secret_scan
 from clausewright.llm.durable import durable
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs.select(*COLUMNS), queries.quality_model(docs, labels))
-    return scored.filter("predicted = 1").select(*COLUMNS)
+    scored = quality.score(docs.select("text", F.struct("*").alias("_row")), queries.quality_model(docs, labels))
+    return scored.filter("predicted = 1").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    found = ngram_join.near_duplicates(docs, size=5, share=80)
-    kept = durable(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    alone = docs.select(*COLUMNS).filter("doc_id is null")
-    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
-    chosen = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("_copy", first).filter("_copy = 1")
-    return chosen.select(*COLUMNS).unionByName(alone)
+    """The first document of each group of near copies."""
+    return ngram_join.first_of_each_group(docs, size=5, share=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked; n_chars follows the text."""
-    return secret_scan.redact_secrets(docs.select(*COLUMNS), length_col="n_chars").select(*COLUMNS)
+    length = "n_chars" if "n_chars" in docs.columns else None
+    return secret_scan.redact_secrets(docs, length_col=length)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
