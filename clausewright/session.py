@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "clausewright") -> SparkSession:
-    """A local session with adaptive execution, for tests and the bench."""
+    """A local session with adaptive execution, for tests and the bench. Its memory is
+    small by default, so that a test run with its Python workers fits beside it."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -15,7 +18,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "claus
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", os.environ.get("CLAUSEWRIGHT_DRIVER_MEMORY", "3g"))
         .getOrCreate()
     )
 
