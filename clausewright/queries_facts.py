@@ -9,7 +9,8 @@ from clausewright.operators import facts, integrity, trust
 from clausewright.operators import metrics as mx
 from clausewright.operators import segmentation as seg
 from clausewright.plans import pipelines
-from clausewright.queries_segmentation import _LINES, _NODES, _NUMBER, _blocks, _blocks_sql, _nodes, _segments
+from clausewright.queries_segmentation import _CORPUS, _DIRECT, _LINES, _NODES, _NUMBER, _ROLE, _blocks, _blocks_sql, _nodes, _roman, _segments
+from clausewright.queries_segmentation import ORACLES as SEGMENTATION_ORACLES
 from clausewright.session import table
 from clausewright.sources import blocks as src
 from clausewright.sources.toc import toc_gold as toc
@@ -54,7 +55,8 @@ def entities_regex(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relations_containment(spark: SparkSession, sf: str) -> DataFrame:
-    found = facts.entities(_segments(spark, sf).filter("depth = 2"), ["doc_id", "clause_id"])
+    """The clauses, of all depths, that each entity is found in."""
+    found = facts.entities(_segments(spark, sf), ["doc_id", "clause_id"])
     return facts.relations(found, ["doc_id"])
 
 
@@ -133,8 +135,10 @@ def corpus_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def heldout_summary(spark: SparkSession, sf: str) -> DataFrame:
-    scores = trust.confidence(_nodes(spark, sf))
-    return scores.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("issues") > 0).alias("invalid"), F.count_if("needs_review").alias("escalated"), F.bround(F.avg("score"), 6).alias("mean_score"))
+    """How many documents have no clause, a broken tree or need review, and the clauses
+    of each role that reports name."""
+    blocks, nodes = _blocks(spark, sf), _nodes(spark, sf)
+    return mx.heldout_summary(blocks, nodes, trust.confidence(nodes), seg.role(F.col("family")))
 
 
 def row_local_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,6 +165,22 @@ _W = f"WITH RECURSIVE {_NODES}"
 _FOUND = "[" + ", ".join(f"('{k}', '{rx}')" for k, rx in facts.ENTITY_PATTERNS) + "]"
 _ENT = "ents AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(regexp_extract_all(text, '{rx}')) AS entity FROM blocks" for k, rx in facts.ENTITY_PATTERNS) + ")"
 _VALUE = r"CASE type WHEN 'duration' THEN 'P' || regexp_extract(entity, '\d+(?:\.\d+)?') || 'D' WHEN 'percent' THEN regexp_extract(entity, '\d+(?:\.\d+)?') || '%' ELSE trim(entity) END"
+_ENTITIES = "list_concat(" + ", ".join(f"regexp_extract_all({{0}}, '{rx}')" for _, rx in facts.ENTITY_PATTERNS) + ")"
+_FULL = "full_texts AS (SELECT e.doc_id, e.ord, substr(t.text, CAST(e.char_start + 1 AS BIGINT), CAST(e.char_end - e.char_start AS BIGINT)) AS text FROM ended e JOIN texts t ON t.doc_id = e.doc_id)"
+_CONFIDENCE = SEGMENTATION_ORACLES["seg_confidence"]
+_LAST = r"regexp_extract(trim({0}), '(\S+)$', 1)"
+_DOTTED = r"regexp_extract(trim({0}), '\d+(?:\.\d+)*')"
+
+
+def _normal(x: str) -> str:
+    token, digits = _LAST.replace("{0}", x), _DOTTED.replace("{0}", x)
+    value = f"CASE WHEN regexp_full_match({token}, '\\d+') THEN CAST({token} AS INT) ELSE {_roman(token)} END"
+    parts = f"array_to_string(list_transform(string_split({digits}, '.'), lambda d: CAST(CAST(d AS INT) AS VARCHAR)), '.')"
+    return f"CASE WHEN upper(trim({x})) LIKE 'ARTICLE%' THEN 'ART:' || coalesce(CAST({value} AS VARCHAR), '-') WHEN {digits} <> '' THEN 'SEC:' || {parts} ELSE 'RAW:' || trim({x}) END"
+
+
+_REF = r"(?i)^(.*\S)\s+(?:A-\w+|\d+)$"
+_BARE = f"CASE WHEN regexp_matches({{0}}, '{_REF}') THEN regexp_extract({{0}}, '{_REF}', 1) ELSE {{0}} END"
 _KINDS = "[" + ", ".join(f"{{'t': '{t}', 'c': " + (f"'{c}'" if c else "NULL") + ", 'f': " + (f"'{f}'" if f else "NULL") + "}" for t, c, f in DOCUMENT_TYPES) + "]"
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\s.,]+'), lambda w: list_contains({0}, w))"
 _STOPS = "[" + ", ".join(f"{{'n': len({_WORDS.replace('{0}', '[' + ', '.join(repr(w) for w in ws) + ']')}), 'code': '{c}'}}" for c, ws in facts.STOP_WORDS) + "]"
@@ -190,6 +210,39 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'primary_type_disagree', CASE WHEN i % 61 = 0 THEN 'cl-88' ELSE nm END FROM b WHERE i % 67 = 0""",
     "evidence_verify": f"WITH {_FACTS} SELECT kind, count(*) AS failing FROM ev JOIN d ON d.doc_id = ev.doc_id WHERE substr(doc, char_start + 1, char_end - char_start) <> text GROUP BY kind",
     "entities_regex": f"{_W}, {_ENT} SELECT type, entity, count(*) AS n FROM ents GROUP BY ALL",
+    "relations_containment": f"""{_W}, {_DIRECT}, {_FULL}, found AS (SELECT doc_id, ord, {_ENTITIES.replace("{0}", "text")} AS e FROM full_texts)
+        SELECT doc_id, 'entity_in_clause' AS type, 'e-' || unnest(range(0, len(e))) AS source_id, 'cl-' || ord AS target_id FROM found""",
+    "deal_pipeline": f"""{_W}, {_DIRECT}, {_FULL}, per AS (SELECT doc_id, count(*) AS clauses, sum(len({_ENTITIES.replace("{0}", "text")})) AS entities FROM full_texts GROUP BY doc_id)
+        SELECT c_nationkey AS deal_id, count(*) AS documents, CAST(sum(clauses) AS BIGINT) AS clauses, CAST(sum(entities) AS BIGINT) AS entities, count(*) FILTER (needs_review) AS to_review
+        FROM per JOIN ({_CONFIDENCE}) s ON s.doc_id = per.doc_id JOIN customer ON c_custkey = per.doc_id GROUP BY ALL""",
+    "segmentation_score": f"""{_W}, arts AS (SELECT o_orderkey, o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a FROM orders),
+        secs AS (SELECT doc_id, a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem JOIN arts ON l_orderkey = o_orderkey),
+        gold AS (SELECT DISTINCT doc_id, 'ART:' || a AS k, 0 AS want FROM arts UNION ALL SELECT DISTINCT doc_id, 'SEC:' || a || '.' || s, 1 FROM secs),
+        tops AS (SELECT *, last_value(CASE WHEN depth = 0 THEN family END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord) AS top, {_NUMBER} AS number FROM nodes),
+        seen AS (SELECT doc_id, ord, depth AS got, {_normal("number")} AS k FROM tops WHERE depth <= 1 AND top <> 'region'),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY ord) AS nth FROM seen WHERE k NOT LIKE 'RAW:%'),
+        met AS (SELECT coalesce(g.doc_id, r.doc_id) AS doc_id, want, got FROM gold g FULL JOIN (SELECT * FROM ranked WHERE nth = 1) r ON g.doc_id = r.doc_id AND g.k = r.k),
+        sums AS (SELECT doc_id, count(*) FILTER (want = got) AS correct, count(*) FILTER (want <> got) AS wrong_depth, count(*) FILTER (got IS NULL) AS missed, count(*) FILTER (want IS NULL) AS extra,
+            count(want) AS labelled, count(got) AS predicted FROM met GROUP BY doc_id),
+        again AS (SELECT doc_id, count(*) AS duplicates FROM ranked WHERE nth > 1 GROUP BY doc_id)
+        SELECT doc_id, correct, wrong_depth, missed, extra, coalesce(duplicates, 0) AS duplicates, CASE WHEN labelled = 0 THEN 0.0 ELSE correct / labelled END AS recall,
+            CASE WHEN predicted = 0 THEN 0.0 ELSE correct / predicted END AS precision, CASE WHEN labelled + predicted = 0 THEN 0.0 ELSE 2 * correct / (labelled + predicted) END AS f1
+        FROM sums LEFT JOIN again USING (doc_id)""",
+    "norm_number": f"WITH {_CORPUS} SELECT DISTINCT marker, {_normal('marker')} AS value FROM marked",
+    "toc_gold": f"""WITH {_CORPUS}, cut AS (SELECT doc_id, ord, trim(text) AS text, regexp_extract(trim(text), '(?i)^(?:Section\\s+)?(\\d+\\.\\d+)\\.?', 1) AS sec,
+            trim(regexp_replace(trim(text), '(?i)^(?:Section\\s+)?\\d+\\.\\d+\\.?', '')) AS rest, regexp_replace(regexp_extract(trim(text), '(?i)^ARTICLE\\s+(\\S+)', 1), '\\.+$', '') AS token,
+            trim(regexp_replace(trim(text), '(?i)^ARTICLE\\s+\\S+', '')) AS art_rest FROM blocks),
+        told AS (SELECT doc_id, ord, CASE WHEN sec <> '' THEN 1 WHEN regexp_matches(token, '(?i)^([IVXLC]+|\\d+)$') THEN 0 END AS depth, CASE WHEN sec <> '' THEN sec ELSE 'ARTICLE ' || upper(token) END AS number,
+            CASE WHEN sec <> '' THEN {_BARE.replace("{0}", "rest")} ELSE {_BARE.replace("{0}", "art_rest")} END AS heading,
+            sec <> '' AND (rest = '' OR regexp_matches(rest, '{_REF}')) AS is_toc, sec <> '' AND NOT (rest = '' OR regexp_matches(rest, '{_REF}')) AS is_body FROM cut),
+        listed AS (SELECT *, coalesce(max(CAST(is_toc AS INT)) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM told WHERE depth IS NOT NULL),
+        stopped AS (SELECT *, max(CAST(is_body AND seen = 1 AS INT)) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS stop FROM listed),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY ord) AS n FROM stopped WHERE stop = 0 AND NOT is_body)
+        SELECT doc_id, ord, number, depth, heading FROM nth WHERE n = 1""",
+    "heldout_summary": f"""{_W}, roles AS (SELECT count(*) FILTER ({_ROLE} = 'article') AS articles, count(*) FILTER ({_ROLE} = 'section') AS sections, count(*) FILTER ({_ROLE} = 'region') AS regions FROM nodes),
+        d AS (SELECT count(DISTINCT doc_id) AS documents FROM blocks), s AS (SELECT * FROM ({_CONFIDENCE}))
+        SELECT documents, documents - (SELECT count(*) FROM s) AS empty, (SELECT count(*) FILTER (issues > 0) FROM s) AS invalid, (SELECT count(*) FILTER (needs_review) FROM s) AS escalated,
+            (SELECT round_even(avg(score), 6) FROM s) AS mean_score, articles, sections, regions FROM d, roles""",
     "resolve_entities": f"{_W}, {_ENT} SELECT doc_id, type, {_VALUE} AS value, count(*) AS mentions FROM ents GROUP BY ALL",
     "deal_aggregate": f"""{_W}, {_ENT} SELECT c_nationkey AS deal_id, type, {_VALUE} AS value, min(entity) AS canonical_name, count(*) AS mentions, count(DISTINCT doc_id) AS documents
         FROM ents JOIN customer ON c_custkey = doc_id GROUP BY ALL""",

@@ -437,6 +437,8 @@ ORACLES = {
         SELECT key, value, count(DISTINCT split) AS splits FROM k WHERE value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1""",
     "class_support": f"""WITH {_CONTRACT}, l AS (SELECT unnest({_list(MODEL_LABELS)}) AS label), c AS (SELECT type AS label, count(*) AS n FROM rows WHERE split = 'train' GROUP BY ALL)
         SELECT label, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < 30 THEN 'low' ELSE 'ok' END AS status FROM l LEFT JOIN c USING (label)""",
+    "dataset_identity": """WITH h AS (SELECT sha256(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'text': text}) AS VARCHAR)) AS h FROM documents),
+        p AS (SELECT substr(h, 1, 3) AS part, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY ALL) SELECT sha256(string_agg(h, chr(10) ORDER BY part)) AS identity FROM p""",
     "document_opening": f"SELECT doc_id, md5(array_to_string(string_split({_COLLAPSE.replace('{0}', 'text')}, ' ')[1:512], ' ')) AS opening_md5 FROM documents",
     "text_hash": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
     "split_file_mismatch": f"WITH {_EXAMPLES} SELECT doc_id, 'val' AS file, split FROM examples WHERE doc_id % 19 = 0 AND split <> 'val'",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import numbering
-from clausewright.functions.markers import family_name, scan
+from clausewright.functions.markers import FAMILIES, family_name, scan
 from clausewright.operators import segmentation as seg
 from clausewright.operators import trust
 from clausewright.plans.corpus import contract_items, contract_items_sql
@@ -190,16 +190,12 @@ def _roman(x: str) -> str:
     return _ROMAN_SQL.replace("{0}", x)
 
 
-_HEADS = (
-    ("article", r"(?i)^(ARTICLE\s+(?:[IVXLC]+|\d+))"),
-    ("section", r"(?i)^((?:Section|Clause)\s+\d+(?:\.\d+)*)"),
-    ("region", r"(?i)^((?:Schedule|Annex(?:ure)?|Exhibit|Appendix)\s+(?:[A-Z]+|\d+))"),
-    ("hier-decimal", r"^(\d+(?:\.\d+)+\.?)"),
-    ("decimal", r"^(\d+\.)\s"),
-    ("paren-lower", r"^(\([a-z]{1,3}\))"),
-    ("paren-upper", r"^(\([A-Z]{1,3}\))"),
-    ("paren-num", r"^(\(\d+\))"),
-)
+#: The marker families for DuckDB, which knows no look-ahead: behind one, the character
+#: itself is read. At a block's start, and anywhere, the first family first.
+_AHEAD = r"(?=\s)"
+_HEADS = tuple((n, f"^({rx.removesuffix(_AHEAD)})" + (r"\s" if rx.endswith(_AHEAD) else "")) for n, rx in FAMILIES)
+_ANYWHERE = "|".join(rx.replace(_AHEAD, r"\s") for _, rx in FAMILIES)
+_WHICH = "CASE " + " ".join(f"WHEN regexp_full_match(raw, '{rx.replace(_AHEAD, chr(92) + 's')}') THEN '{n}'" for n, rx in FAMILIES) + " END"
 _FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(lead, '{rx}') THEN '{n}'" for n, rx in _HEADS) + " END"
 _MARKER = "CASE " + " ".join(f"WHEN family = '{n}' THEN regexp_extract(lead, '{rx}', 1)" for n, rx in _HEADS) + " END"
 _INTS = r"list_transform(regexp_extract_all(marker, '\d+'), lambda d: CAST(d AS INT))"
@@ -316,6 +312,13 @@ ORACLES = {
     "page_range_filter": f"""WITH items AS (SELECT * FROM ({contract_items_sql()}) WHERE page BETWEEN 1 AND 2), b AS ({_blocks_sql('items')})
         SELECT doc_id, count(*) AS blocks, max(char_end) AS last_end FROM b GROUP BY doc_id""",
     "html_blocks": f"WITH {_HTML}, b AS ({_blocks_sql('items', 'page_id', _TYPES)}) SELECT page_id, ord, block_id, type, char_start, char_end, text FROM b",
+    "marker_scan_counts": f"""WITH {_LINES}, raws AS (SELECT unnest(regexp_extract_all(text, '{_ANYWHERE}')) AS raw FROM lines)
+        SELECT {_WHICH} AS family, count(*) AS markers FROM raws GROUP BY ALL""",
+    "candidates": f"""WITH {_CORPUS}, hits AS (SELECT *, regexp_extract_all(text, '{_ANYWHERE}') AS m, regexp_split_to_array(text, '{_ANYWHERE}') AS g FROM blocks),
+        each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits),
+        placed AS (SELECT *, m[i] AS raw, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INT) AS s FROM each)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, s) - 1 AS INT) AS candidate, block_id, char_start + s AS source_offset, regexp_replace(raw, '\\s+$', '') AS marker,
+            {_WHICH} AS family, s = length(text) - length(regexp_replace(text, '^\\s+', '')) AS at_block_start FROM placed""",
     "block_start_markers": f"WITH {_CORPUS} SELECT doc_id, source_offset, family, marker FROM marked",
     "parsed_markers": f"""WITH {_CORPUS} SELECT doc_id, source_offset, {_DOT} AS path, array_to_string(alt, '.') AS alt, len(list_filter(rd, lambda p: p[len(p)] = 1)) > 0 AS starts FROM readings""",
     "roman_values": f"""WITH words AS (SELECT unnest(regexp_split_to_array(lower(text), '[ \n]')) AS word FROM documents), told AS (SELECT word, {_roman('word')} AS value FROM words)
