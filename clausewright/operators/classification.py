@@ -85,3 +85,18 @@ def average_precision(scored: DataFrame) -> DataFrame:
     total = F.sum("pos").over(Window.partitionBy("label"))
     steps = groups.withColumns({"tp": F.sum("pos").over(order), "seen": F.sum("n").over(order), "total": total})
     return steps.filter("total > 0").groupBy("label").agg(F.sum(F.col("pos") / F.col("total") * F.col("tp") / F.col("seen")).alias("ap"))
+
+
+def threshold_report(scored: DataFrame, default: float, labels: int, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """One row: macro F1 over a fixed number of labels at one threshold (before) and at
+    each label's own (after), how many labels have one, and the macro average precision,
+    which needs no threshold."""
+    counts = _counts_by_threshold(scored, LABEL_GRID).withColumn("f1", _f1())
+    own = label_thresholds(scored, default, min_support).select("label", F.col("threshold").alias("own"))
+    each = counts.join(F.broadcast(own), "label")  # one row a label
+    told = each.agg(
+        (F.sum(F.when(F.col("t") == default, F.col("f1"))) / labels).alias("before"),
+        (F.sum(F.when(F.col("t") == F.col("own"), F.col("f1"))) / labels).alias("after"),
+        F.count_if((F.col("t") == F.col("own")) & (F.col("own") != default)).alias("tuned"),
+    )
+    return told.crossJoin(average_precision(scored).agg(F.avg("ap").alias("macro_ap")))  # one row each

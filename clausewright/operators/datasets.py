@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausewright.vocabulary import MODEL_LABELS, SPLITS
+from clausewright.vocabulary import CLAUSE_TYPES, MODEL_LABELS, PROVISION_LABELS, SPLITS, UNKNOWN, frame
 
 # What a row of each origin must state.
 REQUIRED_SYNTHETIC = ("generator_model", "generator_version", "prompt_id", "critic_result", "output_license")
 REQUIRED_REAL = ("source", "license", "license_url", "source_ref", "raw_label", "reviewer", "guide_version", "source_document_sha256")
+# Fixed value: how a question names the clause type that it asks for.
+ASKED = 'related to "(.+?)"'
+OTHER_MOST = 15_000
 #: One over the relative error of the percentile that bounds what a cap ranks.
 ACCURACY = 10_000
 GROUP_KEYS = ("org_id", "document_family_id", "source_document_sha256", "template_cluster_id")
@@ -80,6 +83,45 @@ def dedup_across_splits(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy("text").agg(best, labels).select("text", "labels", "best.*")
 
 
+def clause_type_of(question: Column) -> Column:
+    """The clause type that a question asks for; null if it names none that is known."""
+    named = F.regexp_extract(question, ASKED, 1)
+    return F.when(named.isin(*CLAUSE_TYPES, UNKNOWN), named)
+
+
+def answer_rows(qa: DataFrame) -> DataFrame:
+    """title, clause_type, sentence: one row per answer to a question of known type, as
+    the sentence around it. qa: title, context, question, answers struct<text
+    array<string>, answer_start array<int>>."""
+    asked = qa.withColumn("clause_type", clause_type_of(F.col("question"))).filter("clause_type is not null")
+    each = asked.select("title", "clause_type", "context", F.inline(F.arrays_zip(F.col("answers.text").alias("answer"), F.col("answers.answer_start").alias("start"))))
+    told = each.select("title", "clause_type", sentence_at(F.col("context"), F.col("start"), F.col("start") + F.length("answer")).alias("sentence"))
+    return told.filter("sentence <> ''")
+
+
+def question_examples(qa: DataFrame) -> DataFrame:
+    """doc_id, text, labels, source: sentences of a contract with all types asked of them."""
+    rows = group_labels(answer_rows(qa), ["title", "sentence"], "clause_type")
+    return rows.select(F.col("title").alias("doc_id"), F.col("sentence").alias("text"), "labels", F.lit("questions").alias("source"))
+
+
+def labelled_examples(rows: DataFrame, names: list[str], most: int = OTHER_MOST) -> DataFrame:
+    """doc_id, text, labels, source from rows (idx, text, label): a label's name is its
+    place in names, its clause type the one that stands for it here, else unknown, of
+    which the first most rows are kept."""
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("label"))
+    known = frame(rows.sparkSession, PROVISION_LABELS, "name string, clause_type string")
+    typed = rows.withColumn("name", name).join(F.broadcast(known), "name", "left").withColumn("clause_type", F.coalesce("clause_type", F.lit(UNKNOWN)))
+    kept = cap_negatives(typed, F.col("clause_type") == UNKNOWN, "idx", most)
+    return kept.select(F.concat(F.lit("labelled-"), F.col("idx").cast("string")).alias("doc_id"), "text", F.array("clause_type").alias("labels"), F.lit("labelled").alias("source"))
+
+
+def clause_dataset(qa: DataFrame, rows: DataFrame, names: list[str], most: int = OTHER_MOST) -> DataFrame:
+    """Both corpora in one, split by source document, each text in one split only."""
+    both = question_examples(qa).unionByName(labelled_examples(rows, names, most))
+    return dedup_across_splits(both.withColumn("split", hash_split(F.col("doc_id"))), "doc_id")
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """Values of key that occur more than once, and how often."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from clausewright.operators import classification as cl
 from clausewright.operators import datasets as ds
 from clausewright.operators import metrics as mx
+from clausewright.operators import prompts as pr
+from clausewright.operators import training as tr
+from clausewright.queries_segmentation import _blocks
 from clausewright.session import table
 from clausewright.vocabulary import CLAUSE_TYPES, CRITICAL_TYPES, KEYWORDS, METADATA_TYPES, MODEL_LABELS, PROVISION_LABELS, UNKNOWN, clause_types, frame
 
@@ -279,15 +282,72 @@ def tfidf_top_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """A content hash per generation prompt over all axes."""
-    axis = lambda xs, c: frame(spark, [(x,) for x in xs], f"{c} string")
-    # The axes of generated documents.
-    places = ("England & Wales", "Delaware USA", "New York USA", "Australia", "Singapore")
-    lengths = ("short (1-2 pages)", "medium (3-6 pages)", "long (8-15 pages)")
-    registers = ("formal legal", "plain-English modern", "dense traditional boilerplate")
-    rows = axis(MODEL_LABELS, "label").crossJoin(axis(places, "place")).crossJoin(axis(lengths, "length")).crossJoin(axis(registers, "register"))
-    prompt = F.concat(F.lit("Jurisdiction: "), "place", F.lit(". Length: "), "length", F.lit(". Register: "), "register", F.lit("."))
-    return rows.select("label", "place", "length", "register", F.concat(F.lit("doctype-prompts-v1:"), "label", F.lit(":"), F.substring(F.sha2(prompt, 256), 1, 16)).alias("prompt_id"))
+    """The identity of every generation prompt, a hash of its whole text."""
+    rows = pr.prompt_axes(spark)
+    return rows.select("label", "family", "place", "length", "register", "fmt", pr.prompt_id(F.col("label"), pr.rendered()).alias("prompt_id"))
+
+
+NAMES = [*[a for a, _ in PROVISION_LABELS], "Notices"]
+
+
+def clause_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as two corpora: every second one answers a question with its first
+    "the" or "de", the others give their first line a label."""
+    docs = table(spark, sf, "documents").withColumn("at", F.greatest(F.instr("text", " the "), F.instr("text", " de ")))
+    kind = F.when(F.col("doc_id") % 14 == 0, "Poetry").otherwise(F.get(F.array(*[F.lit(x) for x in TEN]), (F.col("doc_id") % 10).cast("int")))
+    question = F.concat(F.lit('Highlight the parts of this contract related to "'), kind, F.lit('" that a lawyer should review'))
+    answers = F.struct(F.array(F.substring(F.col("text"), F.col("at") + 1, F.lit(3))).alias("text"), F.array("at").alias("answer_start"))
+    title = F.concat(F.lit("contract-"), (F.col("doc_id") % 50).cast("string"))
+    qa = docs.filter("doc_id % 2 = 0 and at > 0").select(title.alias("title"), F.col("text").alias("context"), question.alias("question"), answers.alias("answers"))
+    rows = docs.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("idx"), F.substring_index("text", "\n", 1).alias("text"), (F.col("doc_id") % len(NAMES)).cast("int").alias("label"))
+    found = ds.clause_dataset(qa, rows, NAMES)
+    return found.select("doc_id", "source", "split", F.md5("text").alias("text_md5"), F.array_join("labels", ",").alias("labels"))
+
+
+def _typed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a type by their language, which their words tell."""
+    kinds = F.create_map(*[F.lit(x) for pair in (("en", "nda"), ("fr", "commercial_agreement"), ("de", "constitutional")) for x in pair])
+    kind = F.coalesce(F.element_at(kinds, F.col("lang")), F.lit("other"))
+    split = F.when(ds.hash_split(F.col("doc_id").cast("string")) == "train", "train").otherwise("real_dev")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", kind.alias("type"), split.alias("split"), F.lit("real").alias("origin"), F.lit("verified").alias("review_status"))
+
+
+EVAL_LABELS = ["nda", "commercial_agreement", "constitutional", "other"]
+
+
+def _doctype_model(spark: SparkSession, sf: str) -> tuple[tr.DocumentTypeModel, DataFrame, DataFrame]:
+    rows = _typed_rows(spark, sf)
+    train, held = rows.filter("split = 'train'"), rows.filter("split = 'real_dev'")
+    tr.guard_evaluation(held, "real_dev", EVAL_LABELS)
+    return tr.train_document_types(train), train, held
+
+
+def doctype_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out scores of the document-type baseline."""
+    model, train, held = _doctype_model(spark, sf)
+    return tr.evaluate_document_types(model, train, held, EVAL_LABELS)
+
+
+def doctype_top_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms that speak most for each type."""
+    top = _doctype_model(spark, sf)[0].top_features()
+    return frame(spark, [(c, i, t) for c, terms in top.items() for i, t in enumerate(terms, 1)], "type string, nth int, term string")
+
+
+def clause_model_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """Clause models learnt from the contract corpus' keyword labels in the train split,
+    held against those of the other splits."""
+    blocks = _blocks(spark, sf)
+    rows = blocks.select("text", cl.keyword_types(F.col("text")).alias("labels"), ds.hash_split(F.col("doc_id").cast("string")).alias("split"))
+    model = tr.train_clause_types(rows.filter("split = 'train'"))
+    scored = model.score(rows.filter("split <> 'train'")).withColumn("d", cl.decide(F.col("scores"), [0.5] * len(CLAUSE_TYPES)))
+    pred = F.when(F.size("d.predictions") > 0, F.transform("d.predictions", lambda x: x["label"])).otherwise(F.array(F.lit(UNKNOWN)))
+    return mx.micro_macro(mx.label_counts(scored.select(F.col("labels").alias("gold"), pred.alias("pred"))), len(CLAUSE_TYPES))
+
+
+def threshold_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Macro F1 at one threshold and at each label's own, and the mean average precision."""
+    return cl.threshold_report(_long(spark, sf), 0.5, len(CLAUSE_TYPES))
 
 
 QUERIES = {
@@ -297,7 +357,7 @@ QUERIES = {
         label_prf, micro_macro_f1, weighted_f1, per_class_f1, majority_floor, topk_accuracy, bootstrap_ci, doc_presence, sentence_expand, multilabel_group,
         capped_negatives, hash_split, dedup_across_splits, label_frequency, split_report, provision_labels, answer_explode, title_keywords, dataset_profile,
         row_contract_issues, duplicate_ids, exact_duplicates, near_duplicates, group_leakage, class_support, dataset_identity, document_opening, text_hash,
-        split_file_mismatch, tfidf_top_terms, prompt_ids,
+        split_file_mismatch, tfidf_top_terms, prompt_ids, clause_dataset, doctype_baseline, doctype_top_features, clause_model_f1, threshold_report,
     )
 }
 
@@ -308,6 +368,18 @@ def _list(xs) -> str:  # noqa: ANN001
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
 
+def _sql(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _joined(lines) -> str:  # noqa: ANN001
+    return " || chr(10) || ".join(_sql(x) for x in lines)
+
+
+_CLASS_ROWS = "[" + ", ".join(
+    f"{{'l': {_sql(n)}, 'f': NULL, 'h': {_sql(pr.OPENING[0] + s + pr.OPENING[1])}, 't': {_joined([pr.INCLUDE[0] + p + pr.INCLUDE[1], *['- ' + x for x in rs]])}}}" for n, s, p, rs in pr.CLASSES
+) + ", " + ", ".join(f"{{'l': 'other', 'f': {_sql(f)}, 'h': {_joined([pr.OTHER_OPENING[0] + f + pr.OTHER_OPENING[1], pr.OTHER_RULE])}, 't': NULL}}" for f in pr.OTHER_FAMILIES) + "]"
+_FORMAT_ROWS = "[" + ", ".join(f"{{'n': {_sql(n)}, 'i': {_sql(i)}}}" for n, _, i in pr.FORMATS) + "]"
 _TEN = _list(TEN)
 _KEYS = "[" + ", ".join(f"CASE WHEN contains(lower({{0}}), '{k}') THEN '{t}' END" for k, t in KEYWORDS) + "]"
 
@@ -448,7 +520,30 @@ ORACLES = {
         r AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + docs) / (1 + df)) + 1) AS w FROM t JOIN d USING (term), n),
         x AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM r),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS INT) AS nth FROM x) SELECT id, nth, term, round(weight, 6) AS weight FROM k WHERE nth <= 3""",
-    "prompt_ids": f"""WITH l AS (SELECT unnest({_list(MODEL_LABELS)}) AS label), p AS (SELECT unnest(['England & Wales', 'Delaware USA', 'New York USA', 'Australia', 'Singapore']) AS place),
-        n AS (SELECT unnest(['short (1-2 pages)', 'medium (3-6 pages)', 'long (8-15 pages)']) AS length), r AS (SELECT unnest(['formal legal', 'plain-English modern', 'dense traditional boilerplate']) AS register)
-        SELECT label, place, length, register, 'doctype-prompts-v1:' || label || ':' || substr(sha256('Jurisdiction: ' || place || '. Length: ' || length || '. Register: ' || register || '.'), 1, 16) AS prompt_id FROM l, p, n, r""",
+    "prompt_ids": f"""WITH k AS (SELECT unnest({_CLASS_ROWS}) AS k), p AS (SELECT unnest({_list(pr.PLACES)}) AS place), n AS (SELECT unnest({_list(pr.LENGTHS)}) AS length),
+        r AS (SELECT unnest({_list(pr.REGISTERS)}) AS register), f AS (SELECT unnest({_FORMAT_ROWS}) AS f),
+        t AS (SELECT k.l AS label, k.f AS family, place, length, register, f.n AS fmt, k.h || chr(10) || 'Jurisdiction: ' || place || '. Length: ' || length || '. Register: ' || register || '.' || chr(10)
+            || 'Output format: ' || f.i || chr(10) || coalesce(chr(10) || k.t, '') || chr(10) || {_joined(pr.RULES)} AS prompt FROM k, p, n, r, f)
+        SELECT label, family, place, length, register, fmt, '{pr.REGISTRY}:' || label || ':' || substr(sha256(prompt), 1, 16) AS prompt_id FROM t""",
+    "clause_dataset": f"""WITH d AS (SELECT doc_id, text, greatest(strpos(text, ' the '), strpos(text, ' de ')) AS at0 FROM documents),
+        c AS (SELECT *, substr(text, 1, at0) AS head, substr(text, at0 + 4) AS tail FROM d WHERE at0 > 0 AND doc_id % 2 = 0 AND doc_id % 14 <> 0),
+        b AS (SELECT *, strpos(reverse(head), ' .') AS dot, strpos(reverse(head), chr(10)) AS nl, strpos(tail, '. ') AS td, strpos(tail, chr(10)) AS tn FROM c),
+        e AS (SELECT *, greatest(CASE WHEN dot > 0 THEN length(head) - dot + 1 ELSE 0 END, CASE WHEN nl > 0 THEN length(head) - nl + 1 ELSE 0 END) AS l,
+            coalesce(at0 + 3 + least(CASE WHEN td > 0 THEN td END, CASE WHEN tn > 0 THEN tn END), length(text)) AS r FROM b),
+        s AS (SELECT 'contract-' || doc_id % 50 AS doc_id, {_COLLAPSE.replace('{0}', 'substr(text, l + 1, r - l)')} AS text, ({_TEN})[doc_id % 10 + 1] AS label FROM e),
+        q AS (SELECT doc_id, 'questions' AS source, text, label FROM s WHERE text <> ''),
+        m AS (SELECT doc_id, string_split(text, chr(10))[1] AS text, CASE doc_id % {len(NAMES)} {" ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(PROVISION_LABELS))} ELSE '{UNKNOWN}' END AS label FROM documents WHERE doc_id % 2 = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY label = '{UNKNOWN}' ORDER BY doc_id) AS k FROM m),
+        every AS (SELECT * FROM q UNION ALL SELECT 'labelled-' || doc_id, 'labelled', text, label FROM o WHERE label <> '{UNKNOWN}' OR k <= {ds.OTHER_MOST}),
+        w AS (SELECT *, CASE {_MOD.replace('CAST(doc_id AS VARCHAR)', 'doc_id')} WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM every),
+        first AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, doc_id) AS k FROM w),
+        labels AS (SELECT text, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM w GROUP BY text)
+        SELECT doc_id, source, split, md5(first.text) AS text_md5, labels FROM first JOIN labels ON first.text = labels.text WHERE k = 1""",
+    "threshold_report": f"""WITH {_tried(cl.LABEL_GRID)}, f AS (SELECT *, {_F1} AS f1 FROM tried),
+        best AS (SELECT label, CASE WHEN max(tp + fn) < {cl.MIN_SUPPORT} THEN 0.5 ELSE arg_max(t, (round(f1, 9), t)) END AS t FROM f GROUP BY label),
+        b AS (SELECT sum(f1) / {len(CLAUSE_TYPES)} AS before FROM f WHERE t = 0.5), a AS (SELECT sum(f1) / {len(CLAUSE_TYPES)} AS after, count(*) FILTER (f.t <> 0.5) AS tuned FROM f JOIN best ON f.label = best.label AND f.t = best.t),
+        g AS (SELECT label, p, sum(gold) AS pos, count(*) AS n FROM long GROUP BY ALL),
+        s AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY label) AS total FROM g WINDOW w AS (PARTITION BY label ORDER BY p DESC)),
+        v AS (SELECT label, sum(pos / total * tp / seen) AS ap FROM s WHERE total > 0 GROUP BY label)
+        SELECT before, after, tuned, (SELECT avg(ap) FROM v) AS macro_ap FROM b, a""",
 }
