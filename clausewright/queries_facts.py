@@ -9,6 +9,7 @@ from clausewright.operators import facts, integrity, trust
 from clausewright.operators import metrics as mx
 from clausewright.operators import segmentation as seg
 from clausewright.plans import pipelines
+from clausewright.plans.corpus import contract_items
 from clausewright.queries_segmentation import _CORPUS, _DIRECT, _LINES, _NODES, _NUMBER, _ROLE, _blocks, _blocks_sql, _nodes, _roman, _segments
 from clausewright.queries_segmentation import ORACLES as SEGMENTATION_ORACLES
 from clausewright.session import table
@@ -74,7 +75,13 @@ def deal_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 def deal_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     blocks = _blocks(spark, sf)
     deals = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").alias("deal_id"))
-    return pipelines.deal_results(pipelines.document_results(blocks, src.documents_of(blocks)), deals)
+    return pipelines.deal_results(pipelines.document_results(blocks), deals)
+
+
+def document_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages over the contract corpus, one row a document."""
+    made = pipelines.Pipeline(keep=DataFrame.persist).run(contract_items(spark, table(spark, sf, "orders"), table(spark, sf, "lineitem")))
+    return made["documents"].drop("reasons")
 
 
 def detect_language(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +160,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        integrity_issues, evidence_verify, entities_regex, relations_containment, resolve_entities, deal_aggregate, deal_pipeline, detect_language,
+        integrity_issues, evidence_verify, entities_regex, relations_containment, resolve_entities, deal_aggregate, deal_pipeline, document_pipeline, detect_language,
         detect_doctype_lookup, route_by_form, bundle_page_runs, segmentation_score, norm_number, toc_gold, corpus_health, heldout_summary, row_local_segments,
         event_windows,
     )
@@ -215,6 +222,13 @@ ORACLES = {
     "deal_pipeline": f"""{_W}, {_DIRECT}, {_FULL}, per AS (SELECT doc_id, count(*) AS clauses, sum(len({_ENTITIES.replace("{0}", "text")})) AS entities FROM full_texts GROUP BY doc_id)
         SELECT c_nationkey AS deal_id, count(*) AS documents, CAST(sum(clauses) AS BIGINT) AS clauses, CAST(sum(entities) AS BIGINT) AS entities, count(*) FILTER (needs_review) AS to_review
         FROM per JOIN ({_CONFIDENCE}) s ON s.doc_id = per.doc_id JOIN customer ON c_custkey = per.doc_id GROUP BY ALL""",
+    "document_pipeline": f"""{_W}, {_DIRECT}, {_FULL}, ent AS (SELECT doc_id, sum(len({_ENTITIES.replace("{0}", "text")})) AS n, count(*) AS c FROM full_texts GROUP BY doc_id),
+        pages AS (SELECT doc_id, max(page) AS page_count, CAST(count(*) AS INT) AS n_blocks FROM blocks GROUP BY doc_id),
+        s AS (SELECT doc_id, {_STOPS.replace("lower(text)", "lower(texts.text)")} AS s FROM texts), t AS (SELECT doc_id, list_sum(list_transform(s, lambda x: x.n)) AS total,
+            list_sort(list_transform(s, lambda x: {{'n': -x.n, 'code': x.code}}))[1] AS best FROM s)
+        SELECT p.doc_id, page_count, n_blocks, CASE WHEN total > 0 THEN best.code END AS language, CASE WHEN total > 0 THEN round_even(-best.n / total, 4) END AS confidence, coalesce(ent.c, 0) AS n_clauses,
+            CAST(coalesce(ent.n, 0) AS BIGINT) AS n_entities, CAST(coalesce(ent.n, 0) AS BIGINT) AS n_relations, score, needs_review, CAST(0 AS BIGINT) AS issues
+        FROM pages p JOIN t ON t.doc_id = p.doc_id LEFT JOIN ent ON ent.doc_id = p.doc_id LEFT JOIN ({_CONFIDENCE}) c ON c.doc_id = p.doc_id""",
     "segmentation_score": f"""{_W}, arts AS (SELECT o_orderkey, o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a FROM orders),
         secs AS (SELECT doc_id, a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem JOIN arts ON l_orderkey = o_orderkey),
         gold AS (SELECT DISTINCT doc_id, 'ART:' || a AS k, 0 AS want FROM arts UNION ALL SELECT DISTINCT doc_id, 'SEC:' || a || '.' || s, 1 FROM secs),
