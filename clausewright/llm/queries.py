@@ -45,16 +45,22 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after five batches over all documents: all enter as "draft" counts of
-    one language; revisions give their true groups; one batch is replayed; documents
-    whose id ends in 3 leave and enter again."""
-    rows = durable(token_rollups.counted(_table(spark, sf_dir, "documents")), "token-counts")
+    """Totals after four batches over all documents, counted by words, by bytes and by a
+    public tokenizer: all enter as "draft" counts of one language; revisions give their
+    true groups; one batch is replayed, before and after compaction; documents whose id
+    ends in 3 leave and enter again."""
+    import public_tokenizers
+
+    kinds = token_rollups.TOKENIZERS | {"byte-bpe-50k": token_rollups.public_count(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)}
+    rows = durable(token_rollups.counted(_table(spark, sf_dir, "documents"), kinds), "token-counts")
     drafts = rows.withColumn("lang", F.lit("und")).withColumn("tokens", F.col("tokens") + 1)
     some = rows.filter(F.pmod("doc_id", F.lit(10)) == 3)
     store = token_rollups.Rollup(spark)
     store.commit("1-insert", token_rollups.inserts(drafts))
     store.commit("2-revise", token_rollups.revisions(drafts, rows))
     store.commit("2-revise", token_rollups.revisions(drafts, rows))
+    store.compact()
+    store.commit("2-revise", token_rollups.revisions(drafts, rows))
     store.commit("3-delete", token_rollups.deletes(some))
     store.commit("4-insert", token_rollups.inserts(some))
     return store.totals()
@@ -153,12 +159,4 @@ ORACLES = {
         SELECT page_id, host, path, rule,
                CASE {_VERDICTS} WHEN regexp_matches(host || path, '{_WORDS}', 'i') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
-    "op6_token_rollups": r"""
-        WITH counts AS (
-            SELECT source, lang, 'words-1' AS tokenizer,
-                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents
-            UNION ALL
-            SELECT source, lang, 'bytes-1', strlen(coalesce(text, '')) FROM documents)
-        SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens
-        FROM counts GROUP BY ALL""",
 }
