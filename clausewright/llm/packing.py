@@ -12,7 +12,7 @@ length.
 
 The program has at most capacity / GRAIN lengths, so its size does not depend on the
 input; only a histogram of (length, salt) counts reaches the driver, with one salt for
-every RANKED pieces of a length.
+every RANKED pieces of a length, and at most PARTS_MOST of them for large inputs.
 
 Defined cases: a null or empty text has the end token alone; a document longer than a
 sequence is cut, any other stays whole unless it tops up others; repeated rows are
@@ -39,8 +39,9 @@ from clausewright.llm.durable import durable
 CAPACITY = 2048
 END_TOKEN = 1
 GRAIN = 8
-#: Pieces of a length that are ranked together, on average.
-RANKED = 200_000
+#: Pieces of a length that are ranked together, on average, and the most parts of all
+#: lengths: beyond, parts grow.
+RANKED, PARTS_MOST = 200, 1 << 16
 #: Patterns added to the program at most.
 ROUNDS = 4000
 #: The search ends when the program's value is within this share of its lower bound.
@@ -242,7 +243,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     kind = F.when(F.col("length") == capacity, F.lit(-1)).otherwise(F.ceil(F.col("length") / grain).cast("int") - 1)
     binned = pieces.withColumn("_bin", kind)
     held = {r[0]: r[1] for r in binned.groupBy("_bin").count().collect()}
-    salts = [max(1, -(-held.get(b, 0) // RANKED)) for b in range(-1, bins)]
+    ranked = max(RANKED, sum(held.values()) // PARTS_MOST)
+    salts = [max(1, -(-held.get(b, 0) // ranked)) for b in range(-1, bins)]
     parts = F.get(F.from_json(F.lit(json.dumps(salts)), "array<int>"), F.col("_bin") + 1)
     place = F.xxhash64("doc_id", "start", "ids_crc32", *(["_copy"] if "_copy" in pieces.columns else []))
     salted = binned.withColumn("_salt", F.pmod(place, parts).cast("int"))
