@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Parts kept per worker and kind; the cache starts afresh when it is full.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 200_000
 #: Longer parts are not kept.
 CACHE_LENGTH = 64
 
