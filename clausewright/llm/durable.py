@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: list[str] = []
+_lock = threading.Lock()
+_inside: dict[int, tuple[int, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares: spark.checkpoint.dir, else (unset) the
-    warehouse on a cluster, or a temporary folder where driver and executors are
-    one process, as in tests."""
+    """The folder the cluster shares: spark.checkpoint.dir, else (unset) a temporary
+    folder where driver and executors are one process, as in tests. On a cluster it has
+    to be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -24,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="clausewright-"))
         return _local[0]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,13 +36,25 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go when it ends."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Shuffle files of what runs inside go when it ends. The option is the session's:
+    the first of several writes at a time sets it, and the last one puts it back."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        inside, before = _inside.get(key, (0, None))
+        if not inside:
+            before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _inside[key] = inside + 1, before
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            inside, before = _inside[key]
+            if inside == 1:
+                spark.conf.set(CLEANUP, before)
+                del _inside[key]
+            else:
+                _inside[key] = inside - 1, before
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
