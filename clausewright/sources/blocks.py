@@ -70,16 +70,17 @@ def line_items(documents: DataFrame, key: str = "doc_id", lines_per_page: int =
     )
 
 
-TAG = r"(?s)<(p|h[1-6]|li|td|title|figcaption)\b[^>]*>(.*?)</\1>"
+TAG = r"(?is)<(p|h[1-6]|li|td|title|figcaption)\b[^>]*>(.*?)</\1>"
 
 
 def html_items(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Items from HTML: the text of headings, paragraphs, list items, cells and
     captions; scripts and styles go, entities of markup are read."""
-    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<(script|style)\b.*?</\1>", "")
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>", "")
     tags = F.regexp_extract_all(html, F.lit(TAG), F.lit(1))
     inner = F.regexp_extract_all(html, F.lit(TAG), F.lit(2))
     rows = pages.select(key, F.posexplode(F.arrays_zip(tags.alias("tag"), inner.alias("inner"))).alias("item_index", "item"))
+    rows = rows.withColumn("item", F.struct(F.lower("item.tag").alias("tag"), F.col("item.inner").alias("inner")))
     label = F.when(F.col("item.tag").rlike("^h[1-6]$"), "section_header").otherwise(
         F.element_at(F.create_map(*[F.lit(x) for p in (("p", "text"), ("li", "list_item"), ("td", "table"), ("title", "title"), ("figcaption", "caption")) for x in p]), F.col("item.tag"))
     )
