@@ -99,6 +99,35 @@ def answer_rows(qa: DataFrame) -> DataFrame:
     return told.filter("sentence <> ''")
 
 
+def oneline(text: Column, limit: int) -> Column:
+    """White space collapsed, cut to a limit with a mark where something is missing."""
+    flat = collapse(text)
+    return F.concat(F.substring(flat, 1, limit), F.when(F.length(flat) > limit, "…").otherwise(""))
+
+
+def answer_samples(qa: DataFrame, per_type: int = 4, around: int = 100) -> DataFrame:
+    """question, title, span, context of each question's first contracts by name that
+    answer it: the first answer, marked in the text around it."""
+    told = qa.filter(F.size("answers.text") > 0).withColumns({"_span": F.get("answers.text", F.lit(0)), "_at": F.get("answers.answer_start", F.lit(0))})
+    nth = F.row_number().over(Window.partitionBy("question").orderBy("title", "_at", "_span", F.xxhash64("context")))
+    kept = told.withColumn("_nth", nth).filter(F.col("_nth") <= per_type)
+    first = F.greatest(F.col("_at") - around, F.lit(0))
+    after = F.col("_at") + F.length("_span") + 1
+    context = F.concat(F.substring(F.col("context"), first + 1, F.col("_at") - first), F.lit("⟦"), "_span", F.lit("⟧"), F.substring(F.col("context"), after, F.lit(around)))
+    return kept.select("question", oneline(F.col("title"), 60).alias("title"), oneline(F.col("_span"), 200).alias("span"), oneline(context, 320).alias("context"))
+
+
+def question_profile(qa: DataFrame) -> DataFrame:
+    """One row: questions asked of contracts, contracts, types asked for, and those with
+    an answer."""
+    named = F.regexp_extract("question", ASKED, 1)
+    kind = F.when(named != "", named).otherwise(F.substring("question", 1, 40))
+    answered = F.size("answers.text") > 0
+    return qa.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("title").alias("contracts"), F.count_distinct(kind).alias("types"), F.count_if(answered).alias("answered"), F.avg(answered.cast("double")).alias("answered_share")
+    )
+
+
 def question_examples(qa: DataFrame) -> DataFrame:
     """doc_id, text, labels, source: sentences of a contract with all types asked of them."""
     rows = group_labels(answer_rows(qa), ["title", "sentence"], "clause_type")

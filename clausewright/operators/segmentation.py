@@ -262,6 +262,11 @@ def page_evidence(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     return each.groupBy(key, "ord", "page").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
 
 
+def evidence_lists(evidence: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ord, evidence: a clause's pages with what it covers there, by page."""
+    return evidence.groupBy(key, "ord").agg(F.array_sort(F.collect_list(F.struct("page", "char_start", "char_end"))).alias("evidence"))
+
+
 def _run(first: Column, end: Column) -> Column:
     """Blocks first to end, end exclusive."""
     return F.slice("blocks", first + 1, end - first)

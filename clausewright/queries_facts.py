@@ -46,6 +46,20 @@ def integrity_issues(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.integrity_issues(**_results(spark, sf))
 
 
+def construction_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks with faults by id, against what a block may be built with."""
+    blocks = src.canonicalise(src.line_items(table(spark, sf, "documents")))
+    i, o = F.col("doc_id"), F.col("ord")
+    broken = blocks.select(
+        "doc_id", "ord",
+        F.when((i % 21 == 0) & (o == 1), 0).otherwise(F.col("page")).alias("page"),
+        F.when((i % 25 == 0) & (o == 2), -1).otherwise(F.col("char_start")).alias("char_start"),
+        F.when((i % 19 == 0) & (o == 0), F.col("char_start") - 1).otherwise(F.col("char_end")).alias("char_end"),
+        F.when((i % 27 == 0) & (o == 3), 1.5).otherwise(0.5).alias("confidence"),
+    )
+    return integrity.construction_issues(broken, ["doc_id", "ord"])
+
+
 def evidence_verify(spark: SparkSession, sf: str) -> DataFrame:
     r = _results(spark, sf)
     return integrity.failing_evidence(r["evidence"], r["documents"]).groupBy("kind").agg(F.count(F.lit(1)).alias("failing"))
@@ -160,7 +174,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        integrity_issues, evidence_verify, entities_regex, relations_containment, resolve_entities, deal_aggregate, deal_pipeline, document_pipeline, detect_language,
+        integrity_issues, construction_issues, evidence_verify, entities_regex, relations_containment, resolve_entities, deal_aggregate, deal_pipeline, document_pipeline, detect_language,
         detect_doctype_lookup, route_by_form, bundle_page_runs, segmentation_score, norm_number, toc_gold, corpus_health, heldout_summary, row_local_segments,
         event_windows,
     )
@@ -186,7 +200,7 @@ def _normal(x: str) -> str:
     return f"CASE WHEN upper(trim({x})) LIKE 'ARTICLE%' THEN 'ART:' || coalesce(CAST({value} AS VARCHAR), '-') WHEN {digits} <> '' THEN 'SEC:' || {parts} ELSE 'RAW:' || trim({x}) END"
 
 
-_REF = r"(?i)^(.*\S)\s+(?:A-\w+|\d+)$"
+_REF = r"(?is)^(.*\S)\s* (?:A-\w+|\d+)$"
 _BARE = f"CASE WHEN regexp_matches({{0}}, '{_REF}') THEN regexp_extract({{0}}, '{_REF}', 1) ELSE {{0}} END"
 _KINDS = "[" + ", ".join(f"{{'t': '{t}', 'c': " + (f"'{c}'" if c else "NULL") + ", 'f': " + (f"'{f}'" if f else "NULL") + "}" for t, c, f in DOCUMENT_TYPES) + "]"
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[\\s.,]+'), lambda w: list_contains({0}, w))"
@@ -215,6 +229,11 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'dangling_ref', id || ':' || e FROM ends WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = ends.doc_id AND f.id = ends.e)
         UNION ALL SELECT doc_id, 'dangling_clause_id', 'classification:cl-88' FROM b WHERE i % 61 = 0 AND NOT EXISTS (SELECT 1 FROM b c WHERE c.doc_id = b.doc_id AND c.nm = 'cl-88')
         UNION ALL SELECT doc_id, 'primary_type_disagree', CASE WHEN i % 61 = 0 THEN 'cl-88' ELSE nm END FROM b WHERE i % 67 = 0""",
+    "construction_issues": f"""WITH {_LINES}, items AS (SELECT *, CAST(floor(item_index / 50) + 1 AS INT) AS page FROM lines), b AS ({_blocks_sql('items')}),
+        c AS (SELECT doc_id, ord, CASE WHEN doc_id % 21 = 0 AND ord = 1 THEN 0 ELSE page END AS page, CASE WHEN doc_id % 25 = 0 AND ord = 2 THEN -1 ELSE char_start END AS s,
+            CASE WHEN doc_id % 19 = 0 AND ord = 0 THEN char_start - 1 ELSE char_end END AS e, CASE WHEN doc_id % 27 = 0 AND ord = 3 THEN 1.5 ELSE 0.5 END AS k FROM b)
+        SELECT doc_id, ord, 'page_below_one' AS issue FROM c WHERE page < 1 UNION ALL SELECT doc_id, ord, 'start_below_zero' FROM c WHERE s < 0 UNION ALL SELECT doc_id, ord, 'end_below_zero' FROM c WHERE e < 0
+        UNION ALL SELECT doc_id, ord, 'end_before_start' FROM c WHERE e < s UNION ALL SELECT doc_id, ord, 'confidence_out_of_range' FROM c WHERE k > 1""",
     "evidence_verify": f"WITH {_FACTS} SELECT kind, count(*) AS failing FROM ev JOIN d ON d.doc_id = ev.doc_id WHERE substr(doc, char_start + 1, char_end - char_start) <> text GROUP BY kind",
     "entities_regex": f"{_W}, {_ENT} SELECT type, entity, count(*) AS n FROM ents GROUP BY ALL",
     "relations_containment": f"""{_W}, {_DIRECT}, {_FULL}, found AS (SELECT doc_id, ord, {_ENTITIES.replace("{0}", "text")} AS e FROM full_texts)

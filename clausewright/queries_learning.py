@@ -290,20 +290,35 @@ def prompt_ids(spark: SparkSession, sf: str) -> DataFrame:
 NAMES = [*[a for a, _ in PROVISION_LABELS], "Notices"]
 
 
-def clause_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as two corpora: every second one answers a question with its first
-    "the" or "de", the others give their first line a label."""
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second document as a contract that is asked a question, answered by its
+    first "the" or "de"."""
     docs = table(spark, sf, "documents").withColumn("at", F.greatest(F.instr("text", " the "), F.instr("text", " de ")))
     kind = F.when(F.col("doc_id") % 14 == 0, "Poetry").otherwise(F.get(F.array(*[F.lit(x) for x in TEN]), (F.col("doc_id") % 10).cast("int")))
     question = F.concat(F.lit('Highlight the parts of this contract related to "'), kind, F.lit('" that a lawyer should review'))
-    answers = F.struct(F.array(F.substring(F.col("text"), F.col("at") + 1, F.lit(3))).alias("text"), F.array("at").alias("answer_start"))
+    some = F.col("at") > 0
+    answers = F.struct(F.when(some, F.array(F.substring(F.col("text"), F.col("at") + 1, F.lit(3)))).otherwise(F.array().cast("array<string>")).alias("text"), F.when(some, F.array("at")).otherwise(F.array().cast("array<int>")).alias("answer_start"))
     title = F.concat(F.lit("contract-"), (F.col("doc_id") % 50).cast("string"))
-    qa = docs.filter("doc_id % 2 = 0 and at > 0").select(title.alias("title"), F.col("text").alias("context"), question.alias("question"), answers.alias("answers"))
+    return docs.filter("doc_id % 2 = 0").select(title.alias("title"), F.col("text").alias("context"), question.alias("question"), answers.alias("answers"))
+
+
+def clause_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as two corpora: every second one answers a question, the others give
+    their first line a label."""
+    docs = table(spark, sf, "documents")
     rows = docs.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("idx"), F.substring_index("text", "\n", 1).alias("text"), (F.col("doc_id") % len(NAMES)).cast("int").alias("label"))
-    found = ds.clause_dataset(qa, rows, NAMES)
+    found = ds.clause_dataset(_asked(spark, sf), rows, NAMES)
     return found.select("doc_id", "source", "split", F.md5("text").alias("text_md5"), F.array_join("labels", ",").alias("labels"))
 
 
+def question_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return ds.question_profile(_asked(spark, sf))
+
+
+def answer_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return ds.answer_samples(_asked(spark, sf))
+
+
 def _typed_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a type by their language, which their words tell."""
     kinds = F.create_map(*[F.lit(x) for pair in (("en", "nda"), ("fr", "commercial_agreement"), ("de", "constitutional")) for x in pair])
@@ -357,7 +372,7 @@ QUERIES = {
         label_prf, micro_macro_f1, weighted_f1, per_class_f1, majority_floor, topk_accuracy, bootstrap_ci, doc_presence, sentence_expand, multilabel_group,
         capped_negatives, hash_split, dedup_across_splits, label_frequency, split_report, provision_labels, answer_explode, title_keywords, dataset_profile,
         row_contract_issues, duplicate_ids, exact_duplicates, near_duplicates, group_leakage, class_support, dataset_identity, document_opening, text_hash,
-        split_file_mismatch, tfidf_top_terms, prompt_ids, clause_dataset, doctype_baseline, doctype_top_features, clause_model_f1, threshold_report,
+        split_file_mismatch, tfidf_top_terms, prompt_ids, clause_dataset, question_profile, answer_samples, doctype_baseline, doctype_top_features, clause_model_f1, threshold_report,
     )
 }
 
@@ -539,6 +554,15 @@ ORACLES = {
         first AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, doc_id) AS k FROM w),
         labels AS (SELECT text, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM w GROUP BY text)
         SELECT doc_id, source, split, md5(first.text) AS text_md5, labels FROM first JOIN labels ON first.text = labels.text WHERE k = 1""",
+    "question_profile": """WITH q AS (SELECT doc_id % 50 AS title, CASE WHEN doc_id % 14 = 0 THEN -1 ELSE doc_id % 10 END AS kind, greatest(strpos(text, ' the '), strpos(text, ' de ')) > 0 AS answered FROM documents WHERE doc_id % 2 = 0)
+        SELECT count(*) AS rows, count(DISTINCT title) AS contracts, count(DISTINCT kind) AS types, count(*) FILTER (answered) AS answered, avg(CAST(answered AS DOUBLE)) AS answered_share FROM q""",
+    "answer_samples": f"""WITH q AS (SELECT 'contract-' || doc_id % 50 AS title, text, greatest(strpos(text, ' the '), strpos(text, ' de ')) AS at0,
+            'Highlight the parts of this contract related to "' || CASE WHEN doc_id % 14 = 0 THEN 'Poetry' ELSE ({_TEN})[doc_id % 10 + 1] END || '" that a lawyer should review' AS question FROM documents WHERE doc_id % 2 = 0),
+        k AS (SELECT *, count(*) OVER (PARTITION BY question, title, at0, substr(text, at0 + 1, 3)) AS same FROM q WHERE at0 > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY title, at0, substr(text, at0 + 1, 3)) AS n FROM k),
+        c AS (SELECT question, title, substr(text, at0 + 1, 3) AS span, substr(text, greatest(at0 - 100, 0) + 1, at0 - greatest(at0 - 100, 0)) || '⟦' || substr(text, at0 + 1, 3) || '⟧' || substr(text, at0 + 4, 100) AS context FROM r WHERE n <= 4),
+        f AS (SELECT question, title, span, {_COLLAPSE.replace('{0}', 'context')} AS flat FROM c)
+        SELECT question, title, {_COLLAPSE.replace('{0}', 'span')} AS span, substr(flat, 1, 320) || CASE WHEN length(flat) > 320 THEN '…' ELSE '' END AS context FROM f""",
     "threshold_report": f"""WITH {_tried(cl.LABEL_GRID)}, f AS (SELECT *, {_F1} AS f1 FROM tried),
         best AS (SELECT label, CASE WHEN max(tp + fn) < {cl.MIN_SUPPORT} THEN 0.5 ELSE arg_max(t, (round(f1, 9), t)) END AS t FROM f GROUP BY label),
         b AS (SELECT sum(f1) / {len(CLAUSE_TYPES)} AS before FROM f WHERE t = 0.5), a AS (SELECT sum(f1) / {len(CLAUSE_TYPES)} AS after, count(*) FILTER (f.t <> 0.5) AS tuned FROM f JOIN best ON f.label = best.label AND f.t = best.t),

@@ -130,6 +130,13 @@ def clause_page_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return seg.page_evidence(_blocks(spark, sf)).select("doc_id", "ord", F.col("page").cast("int").alias("page"), "char_start", "char_end")
 
 
+def clause_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Each clause's evidence by page, as text."""
+    listed = seg.evidence_lists(seg.page_evidence(_blocks(spark, sf)))
+    told = F.transform("evidence", lambda e: F.concat_ws(":", e["page"].cast("string"), e["char_start"].cast("string"), e["char_end"].cast("string")))
+    return listed.select("doc_id", "ord", F.array_join(told, ",").alias("evidence"))
+
+
 def segmented_clauses(spark: SparkSession, sf: str) -> DataFrame:
     return _segments(spark, sf).select("doc_id", "clause_id", "parent_id", "depth", "role", "number", "heading", "char_start", "char_end", F.md5("text").alias("text_md5"))
 
@@ -160,7 +167,7 @@ QUERIES = {
     for f in (
         canonicalise_blocks, canonical_documents, page_range_filter, html_blocks, marker_scan_counts, candidates, block_start_markers,
         parsed_markers, roman_values, sibling_pairs, child_pairs, body_start, clause_nodes, clause_inclusive_spans, clause_direct_spans,
-        clause_role_counts, clause_numbers, clause_headings, clause_page_evidence, segmented_clauses, clause_outline, tree_issues, seg_confidence,
+        clause_role_counts, clause_numbers, clause_headings, clause_page_evidence, clause_evidence, segmented_clauses, clause_outline, tree_issues, seg_confidence,
     )
 }
 
@@ -334,6 +341,9 @@ ORACLES = {
     "clause_headings": f"{_W}, {_DIRECT} SELECT doc_id, ord, {_HEADING} AS heading FROM named",
     "clause_page_evidence": f"""{_W} SELECT e.doc_id, e.ord, b.page, min(greatest(e.char_start, b.char_start)) AS char_start, max(least(e.char_end, b.char_end)) AS char_end
         FROM ended e JOIN blocks b ON b.doc_id = e.doc_id AND b.char_start < e.char_end AND b.char_end > e.char_start GROUP BY ALL""",
+    "clause_evidence": f"""{_W}, pages AS (SELECT e.doc_id, e.ord, b.page, min(greatest(e.char_start, b.char_start)) AS s, max(least(e.char_end, b.char_end)) AS t
+        FROM ended e JOIN blocks b ON b.doc_id = e.doc_id AND b.char_start < e.char_end AND b.char_end > e.char_start GROUP BY ALL)
+        SELECT doc_id, ord, string_agg(page || ':' || s || ':' || t, ',' ORDER BY page) AS evidence FROM pages GROUP BY ALL""",
     "segmented_clauses": f"""{_W}, {_DIRECT} SELECT e.doc_id, 'cl-' || e.ord AS clause_id, 'cl-' || e.parent AS parent_id, e.depth, {_ROLE} AS role, {_NUMBER} AS number, {_HEADING} AS heading,
         e.char_start, e.char_end, md5(substr(t.text, CAST(e.char_start + 1 AS BIGINT), CAST(e.char_end - e.char_start AS BIGINT))) AS text_md5
         FROM ended e JOIN named n ON n.doc_id = e.doc_id AND n.ord = e.ord JOIN texts t ON t.doc_id = e.doc_id""",

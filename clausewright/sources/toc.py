@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_REF = r"(?i)^(.*\S)\s+(?:A-\w+|\d+)$"
+_REF = r"(?is)^(.*\S)\s* (?:A-\w+|\d+)$"
 
 
 def toc_gold(lines: DataFrame, key: str = "doc_id") -> DataFrame:

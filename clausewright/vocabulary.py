@@ -82,6 +82,8 @@ CLAUSE_TYPES = (
     "Warranty Duration",
 )
 UNKNOWN = "unknown"
+# Types that describe a document, those that reviews ask for, and the
+# name of this list of labels.
 METADATA_TYPES = ("Document Name", "Parties", "Agreement Date", "Effective Date", "Expiration Date")
 CRITICAL_TYPES = ("Governing Law", "Change Of Control", "Termination For Convenience", "Cap On Liability", "Anti-Assignment")
 LABEL_SCHEMA = "cuad41-derived-other-v1"
