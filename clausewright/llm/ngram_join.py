@@ -434,7 +434,7 @@ def first_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     mine = F.expr("id <=> component.id and text_hash = component.text_hash")
     kept = found.filter(mine | F.col("component").isNull()).groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"), F.first(F.col("component").isNull()).alias("_empty"))
     kept = kept.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), ((F.col("_rows") > 1) & ~F.col("_empty")).alias("_repeated"))
-    keyed = (F.xxhash64(text_col) == F.col("_hash")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_id"))
-    chosen = df.join(kept, keyed).drop("_id", "_hash")
-    once = chosen.filter("_repeated").dropDuplicates([id_col, text_col])
-    return chosen.filter("not _repeated").unionByName(once).drop("_repeated")
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.struct("*").alias("row"))
+    chosen = rows.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    once = chosen.filter("_repeated").dropDuplicates(["id", "text_hash"])
+    return chosen.filter("not _repeated").unionByName(once).select("row.*")

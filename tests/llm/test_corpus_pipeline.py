@@ -62,3 +62,18 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_row_keys_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long, 1.0), (7, long + " x", 2.0), (7, long + " y", 3.0), (7, "other words", 4.0), (None, "token=abcdefghijklmnop", 5.0), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
+    docs = docs.withColumns({"base": docs.score, "spans": docs.score, "_row": docs.score, "predicted": docs.score, "component": docs.score, "_hash": docs.score})
+    frame = docs
+    for _, stage in cp.STAGES[:-1]:
+        frame = stage(spark, frame, SF)
+        assert frame.dtypes == docs.dtypes
+    kept = cp.redact_secrets(spark, cp.drop_near_duplicates(spark, docs, SF), SF).collect()
+    assert sorted(str(r.text)[:11] for r in kept) == sorted([long[:11], "other words", "[SECRET]", "None"])
+    assert next(r for r in kept if r.text and r.text.startswith("w0")).doc_id == 7
+    assert all(r.score == r.base == r.spans for r in kept)
