@@ -58,7 +58,7 @@ FREQUENT_MOST = 400_000
 #: A part of the corpus in which shingles are counted; those that two documents of it
 #: share go into the corpus' counts. Of P parts, a shingle dealt evenly is seen by
 #: some part once about sqrt(2 P) documents hold it.
-COUNTED_SHINGLES = 3_000_000
+COUNTED_SHINGLES = 1_500_000
 FREQUENT_IN_PART = 2
 #: Ratio of the bounds of neighbouring size classes.
 CLASS_RATIO = 1.05
