@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.components import connected_components
 from clausewright.llm.durable import discard, durable
+from clausewright.llm.memory import giving_back
 
 #: Shared prefix shingles that a document may ask for.
 MATCHES = (1, 2, 4, 8, 16)
@@ -173,7 +174,7 @@ def _sets_and_counts(df: DataFrame, size: int) -> DataFrame:
         if part:
             yield frequent()
 
-    return df.select("id", "text", "text_hash").mapInArrow(run, "id long, text_hash long, node long, token long, n long")
+    return df.select("id", "text", "text_hash").mapInArrow(giving_back(run), "id long, text_hash long, node long, token long, n long")
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +229,7 @@ def _prefixes(df: DataFrame, size: int, share: int, frequent: tuple[np.ndarray,
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((nodes, counts, prefixes), kinds, strict=True)], names=["node", "n", "prefix"])
 
-    return df.select("text").mapInArrow(run, "node long, n int, prefix array<long>")
+    return df.select("text").mapInArrow(giving_back(run), "node long, n int, prefix array<long>")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list]:
@@ -368,7 +369,7 @@ def _sets_of(df: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             seen |= found.keys()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return chosen.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return chosen.mapInArrow(giving_back(run), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _with_component(entries: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.bpe import PartCache
 from clausewright.llm.durable import durable
+from clausewright.llm.memory import giving_back
 
 CAPACITY = 2048
 END_TOKEN = 1
@@ -58,18 +59,25 @@ class Tokens:
 
     def __init__(self, path: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         own = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
         byte_of = {chr(c): c for c in own} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in own)}
         self.special = [t["content"] for t in file["added_tokens"]]
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in file["model"]["vocab"].items() if token not in self.special}
+        del file
         coded = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cache = PartCache(lambda part: array("I", coded.encode_ordinary(part)).tobytes())
 
+    @functools.cached_property
+    def tokenizer(self):  # noqa: ANN201
+        """Loaded where a text asks for it: it takes tens of megabytes a worker."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -104,7 +112,7 @@ def token_pieces(df: DataFrame, path: str, pattern: str, capacity: int = CAPACIT
                 columns = zip(*rows[at : at + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return df.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
+    return df.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(giving_back(run), PIECES)
 
 
 def price_pattern(prices: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:

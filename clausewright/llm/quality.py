@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.llm.durable import durable
+from clausewright.llm.memory import giving_back
 
 SAMPLE_ROWS = 24_000
 FEATURES = 384
@@ -169,7 +170,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             stats = [statistics(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(stats, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["stats", "label", "fold"])
 
-    measured = durable(sample(df, labels, id_col, text_col, label_col, rows).mapInArrow(measure, "stats array<double>, label double, fold int"), "quality-sample").coalesce(PARTS)
+    measured = durable(sample(df, labels, id_col, text_col, label_col, rows).mapInArrow(giving_back(measure), "stats array<double>, label double, fold int"), "quality-sample").coalesce(PARTS)
     moments = measured.select(F.posexplode("stats")).groupBy("pos").agg(F.avg("col"), F.stddev_pop("col")).orderBy("pos").collect()
     if not moments:
         return None
@@ -193,7 +194,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()]), pa.array([moment.tobytes()])], names=["gram", "moment"])
 
     gram, moment = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
-    for part in measured.mapInArrow(equations, "gram binary, moment binary").toLocalIterator():
+    for part in measured.mapInArrow(giving_back(equations), "gram binary, moment binary").toLocalIterator():
         gram += np.frombuffer(part[0]).reshape(gram.shape)
         moment += np.frombuffer(part[1])
     seen = max(1.0, gram[0, 0])
