@@ -13,8 +13,8 @@ and are kept in a bounded cache per worker; most parts of a text are words seen
 before.
 
 Defined cases: a null or empty text has no ids; texts are encoded whole, whatever
-their length; repeated rows are encoded alike; columns other than those named are
-dropped.
+their length; repeated rows are encoded alike; an empty table gives no rows; columns
+other than those named are dropped, whatever their names.
 """
 
 from __future__ import annotations

@@ -25,8 +25,8 @@ components take no part, as query or candidate; a null id takes no part; vectors
 different lengths are no neighbours: each length is searched by itself; of repeated ids
 each row is a candidate of its own, and none is a candidate of a query with its id; the
 asking rows of one id are one query, whose distance to a candidate is that of the
-nearest of their vectors; fewer than k candidates are all returned; an empty table gives
-no rows; columns other than those named are ignored, whatever their names.
+nearest of their vectors; fewer than k candidates are all returned; vectors of any length are read whole; ties go
+to the least id; an empty table gives no rows; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ every RANKED pieces of a length, and at most PARTS_MOST of them for large inputs
 
 Defined cases: a null or empty text has the end token alone; a document longer than a
 sequence is cut, any other stays whole unless it tops up others; repeated rows are
-packed as often as they occur; an empty table gives no rows; columns other than those
-named are ignored.
+packed as often as they occur; texts of any length are read whole; an empty table gives
+no rows; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
