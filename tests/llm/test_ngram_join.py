@@ -154,3 +154,50 @@ def test_blocks_of_long_texts(monkeypatch):
     whole = ngram_join.shingle_set(text, 4)
     monkeypatch.setattr(ngram_join, "BLOCK", 100)
     assert (ngram_join.shingle_set(text, 4) == whole).all() and len(whole) == 397
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written for other stages."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_of_no_pair_stay_where_they_are(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(300)) for _ in range(2000)]
+    texts[1] = texts[0] + " more"
+    docs = spark.createDataFrame([(None if k == 1 else k, t) for k, t in enumerate(texts)] + [(0, texts[0])], "id bigint, text string")
+    docs = ngram_join.durable(docs.withColumn("text_hash", F.xxhash64("text")).repartition(4), "docs")
+    nodes = [ngram_join.set_hash(ngram_join.shingle_set(t, 5)) for t in texts]
+    hashes = {r.text: r.text_hash for r in docs.collect()}
+    firsts = spark.createDataFrame([(n, (k == 1, None if k == 1 else k, hashes[t])) for k, (n, t) in enumerate(zip(nodes, texts, strict=True))], "node bigint, first struct<none: boolean, id: bigint, text_hash: bigint>")
+    pairs = spark.createDataFrame([(nodes[1], nodes[0]), (nodes[2], nodes[0])], "a bigint, b bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        assert [tuple(r) for r in ngram_join._verified(pairs, docs, firsts, 5, 80).collect()] == [(nodes[1], nodes[0])]
+        assert shuffled_bytes(spark) - before < sum(map(len, texts)) / 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bits_shared_with_others_and_spread_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_WORDS", 1)
+    monkeypatch.setattr(ngram_join, "PAIRS_OF_ONE", 3)
+    rows = list(enumerate(corpus(3), 10))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, size=4, share=85).collect())
+    assert got == brute(rows, 4, 85)
+
+
+def test_asks_only_for_sizes_that_are_offered(spark):
+    entries = spark.createDataFrame([(1, 10, 100, 0, 1, 1, True, 2), (1, 11, 100, 0, 1, 1, True, 2), (1, 12, 300, 0, 1, 1, False, 2), (2, 13, 50, 0, 1, 1, False, 1), (2, 14, 50, 0, 1, 1, False, 1)], "token bigint, node bigint, n int, pos int, rank int, m int, offers boolean, met bigint")
+    left, n_left, pairs = ngram_join._open_entries(entries)
+    assert sorted((r.node, r.label, r.low, r.high) for r in left.collect()) == [(10, 10, 100, 100), (11, 11, 100, 100), (12, 12, 100, 100)]
+    assert (n_left, pairs) == (3, 4)
+    again, n_left, pairs = ngram_join._open_entries(left.withColumn("label", F.when(F.col("node") < 12, F.lit(10)).otherwise(F.col("node"))))
+    assert (again.count(), n_left, pairs) == (3, 3, 2)
+    assert {(r.node_a, r.node_b) for r in ngram_join._meetings(left, 85).collect()} == {(11, 10)}
