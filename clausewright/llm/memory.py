@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+_kept: dict[str, Callable[[], None]] = {}
+
 
 def give_back() -> None:
     """Return what is free in Arrow's pool and the C library's heap to the system."""
@@ -17,10 +19,25 @@ def give_back() -> None:
         return
 
 
-def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, and give_back when a partition ends."""
+def kept(name: str, forget: Callable[[], None]) -> None:
+    """Tell of a cache that lives as long as its worker, and how to empty it."""
+    _kept[name] = forget
+
+
+def make_room(keep: str | None = None) -> None:
+    """Empty what other operators have kept in this worker."""
+    for name, forget in _kept.items():
+        if name != keep:
+            forget()
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with caches of other operators than keep's emptied before, and give_back
+    when a partition ends."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(keep)
+        give_back()
         try:
             yield from run(batches)
         finally:

@@ -162,7 +162,7 @@ def _sets_and_counts(df: DataFrame, size: int) -> DataFrame:
             none = [None] * int(often.sum())
             return told(none, none, none, _signed(tokens[often]), counts[often])
 
-        for batch in batches:
+        for batch in (b.slice(start, 1000) for b in batches for start in range(0, b.num_rows, 1000)):
             nodes, counts = [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, size)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.bpe import PartCache
 from clausewright.llm.durable import durable
-from clausewright.llm.memory import giving_back
+from clausewright.llm.memory import giving_back, kept
 
 CAPACITY = 2048
 END_TOKEN = 1
@@ -91,6 +91,9 @@ def tokens(path: str, pattern: str) -> Tokens:
     return Tokens(path, pattern)
 
 
+kept("packing", tokens.cache_clear)
+
+
 def token_pieces(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked
     for, ids (unsigned 32-bit little-endian). path: a tokenizer file that every
@@ -112,7 +115,7 @@ def token_pieces(df: DataFrame, path: str, pattern: str, capacity: int = CAPACIT
                 columns = zip(*rows[at : at + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return df.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(giving_back(run), PIECES)
+    return df.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(giving_back(run, keep="packing"), PIECES)
 
 
 def price_pattern(prices: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:

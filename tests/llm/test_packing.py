@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from clausewright.llm import packing, queries
+from clausewright.llm import memory, packing, queries
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -134,3 +134,10 @@ def test_pricing_equals_brute_force():
         worth, pattern = packing.price_pattern(prices, demand, 12)
         assert worth == pytest.approx(best[12])
         assert sum(prices[i] * n for i, n in pattern.items()) == pytest.approx(worth)
+
+
+def test_other_operators_empty_the_cache():
+    nothing = lambda batches: iter(())
+    packing.tokens(PATH, P.PATTERN)
+    assert not list(memory.giving_back(nothing, keep="packing")(iter(()))) and packing.tokens.cache_info().currsize
+    assert not list(memory.giving_back(nothing)(iter(()))) and not packing.tokens.cache_info().currsize
