@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from clausewright.llm import ngram_join, queries
+from clausewright.llm import components, ngram_join, queries
 from clausewright.llm.components import connected_components
 
 
@@ -201,3 +201,31 @@ def test_asks_only_for_sizes_that_are_offered(spark):
     again, n_left, pairs = ngram_join._open_entries(left.withColumn("label", F.when(F.col("node") < 12, F.lit(10)).otherwise(F.col("node"))))
     assert (again.count(), n_left, pairs) == (3, 3, 2)
     assert {(r.node_a, r.node_b) for r in ngram_join._meetings(left, 85).collect()} == {(11, 10)}
+
+
+@pytest.mark.parametrize("task", [None, 40])
+def test_small_tables_are_few_files(spark, monkeypatch, task):
+    """However many partitions shuffles have; with small tasks they are many again."""
+    files = defaultdict(list)
+
+    def told(df, name, *sizes, write=ngram_join.durable):
+        out = write(df, name, *((*sizes[:1], task) if task and sizes else sizes))
+        files[name].append(len(out.inputFiles()))
+        return out
+
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "durable", told)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = list(enumerate(corpus(4), 10))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, size=4, share=85).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows, 4, 85)
+    few = {k: max(v) for k, v in files.items() if k not in ("shingle-counts", "sets")}
+    assert len(few) == 13 and (max(few.values()) > 10 if task else max(few.values()) == 1)
