@@ -259,7 +259,7 @@ def _entries(prefixes: DataFrame, share: int, tokens: int | None = None) -> Data
     nodes have too), m (what the node asks for), offers (whether a partner of the
     node's own size needs the token), met (other nodes in its buckets). Tokens of one
     node only are left out, as they can match nothing. tokens: of all prefixes."""
-    nodes = durable(prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes", tokens, TASK_SHINGLES)
+    nodes = durable(prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes", tokens, TASK_SHINGLES, texts=True)
     first = F.col("n") - F.expr(needed(share, "n", "n"))
     told = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("level", F.greatest(F.lit(1), F.col("pos") - first + 1))
     counts = told.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -359,7 +359,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, s
     spark = docs.sparkSession
     pairs = durable(pairs, "pairs", reads)
     wanted = durable(_roles(pairs).join(firsts, "node").select("first.id", "first.text_hash", "roles"), "roles", firsts.count() + 4 * pairs.count())
-    sets = durable(_sets_of(docs, wanted, size), "sets")
+    sets = durable(_sets_of(docs, wanted, size), "sets", texts=True)
     reads = sets.agg(F.sum("read")).first()[0] or 0
     role = sets.select("shingles", F.explode("roles").alias("role"))
     left = role.filter("role.a is not null").select("role.a", "role.b", "role.part", F.col("shingles").alias("sa"))
@@ -444,7 +444,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     those that links reach from it, the first: structs (none, id, text_hash), least
     id first, null ids last. Both are null for documents without words."""
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    counted = durable(_sets_and_counts(docs, size), "shingle-counts")
+    counted = durable(_sets_and_counts(docs, size), "shingle-counts", texts=True)
     rows = counted.filter("token is null").select("id", "text_hash", "node", "n")
     me = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     n_counted = counted.count()

@@ -301,4 +301,4 @@ def pack_documents(df: DataFrame, path: str, pattern: str, capacity: int = CAPAC
     """One row per piece of every document, with its place. The tokens are made once
     and kept in a durable table."""
     pieces = token_pieces(df, path, pattern, capacity, with_ids).withColumn("_copy", F.monotonically_increasing_id())
-    return pack(durable(pieces, "token-pieces"), capacity)
+    return pack(durable(pieces, "token-pieces", texts=True), capacity)

@@ -170,7 +170,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             stats = [statistics(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(stats, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["stats", "label", "fold"])
 
-    measured = durable(sample(df, labels, id_col, text_col, label_col, rows).mapInArrow(giving_back(measure), "stats array<double>, label double, fold int"), "quality-sample").coalesce(PARTS)
+    measured = durable(sample(df, labels, id_col, text_col, label_col, rows).mapInArrow(giving_back(measure), "stats array<double>, label double, fold int"), "quality-sample", texts=True).coalesce(PARTS)
     moments = measured.select(F.posexplode("stats")).groupBy("pos").agg(F.avg("col"), F.stddev_pop("col")).orderBy("pos").collect()
     if not moments:
         return None

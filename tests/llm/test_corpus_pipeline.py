@@ -1,7 +1,8 @@
 import corpus_pipeline as cp
+import pyarrow as pa
 import pytest
 
-from clausewright.llm import quality, queries
+from clausewright.llm import ngram_join, packing, quality, queries
 from clausewright.llm.durable import durable
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_secret_scan import brute as brute_spans
@@ -77,3 +78,32 @@ def test_row_keys_and_clashing_columns(spark):
     assert sorted(str(r.text)[:11] for r in kept) == sorted([long[:11], "other words", "[SECRET]", "None"])
     assert next(r for r in kept if r.text and r.text.startswith("w0")).doc_id == 7
     assert all(r.score == r.base == r.spans for r in kept)
+
+
+def test_few_texts_at_a_time_go_to_python(spark, monkeypatch):
+    """In every table that is made from texts, whatever the session's batches are."""
+    seen = []
+
+    def told(df, name, *sizes, write=durable, **more):
+        seen.append((name, more.get("texts", False), df._jdf.queryExecution().toString()))
+        return write(df, name, *sizes, **more)
+
+    for module in (ngram_join, packing, quality):
+        monkeypatch.setattr(module, "durable", told)
+    docs = spark.createDataFrame([(k, f"words of text {k} " * 20, "en", "a", 1) for k in range(30)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in cp.STAGES:
+        stage(spark, docs, SF).count()
+    assert {name for name, texts, _ in seen if texts} == {name for name, _, plan in seen if "MapInArrow" in plan}
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for own, most in ((10_000, 1000), (0, 1000), (300, 300)):
+        spark.conf.set(batch, str(own))
+        try:
+            got = [r.n for r in durable(spark.range(0, 2500, 1, 1).mapInArrow(rows, "n long"), "batches", texts=True).collect()]
+            assert max(got) == most and sum(got) == 2500 and spark.conf.get(batch) == str(own)
+        finally:
+            spark.conf.unset(batch)

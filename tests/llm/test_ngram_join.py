@@ -208,8 +208,8 @@ def test_small_tables_are_few_files(spark, monkeypatch, task):
     """However many partitions shuffles have; with small tasks they are many again."""
     files = defaultdict(list)
 
-    def told(df, name, *sizes, write=ngram_join.durable):
-        out = write(df, name, *((*sizes[:1], task) if task and sizes else sizes))
+    def told(df, name, *sizes, write=ngram_join.durable, **more):
+        out = write(df, name, *((*sizes[:1], task) if task and sizes else sizes), **more)
         files[name].append(len(out.inputFiles()))
         return out
 
