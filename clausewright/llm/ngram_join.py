@@ -259,7 +259,7 @@ def _entries(prefixes: DataFrame, share: int, tokens: int | None = None) -> Data
     nodes have too), m (what the node asks for), offers (whether a partner of the
     node's own size needs the token), met (other nodes in its buckets). Tokens of one
     node only are left out, as they can match nothing. tokens: of all prefixes."""
-    nodes = durable(prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes", tokens, TASK_SHINGLES, texts=True)
+    nodes = durable(prefixes.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes", tokens, TASK_SHINGLES // 4, texts=True)
     first = F.col("n") - F.expr(needed(share, "n", "n"))
     told = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("level", F.greatest(F.lit(1), F.col("pos") - first + 1))
     counts = told.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
