@@ -59,3 +59,21 @@ def test_markers_of_odd_texts(spark):
         heads = [(name, m[0], lead) for name, rx in mk.FAMILIES if (m := re.compile(rx, re.A).match(text, lead))]
         assert (tuple(got[i].head) if got[i].head else None) == (heads[0] if heads else None), text
     assert got[len(texts)].head is None and got[len(texts)].m is None
+
+
+def test_corpus_is_that_of_its_sql(spark):
+    """Items and blocks made by columns are those that the corpus' own SQL gives, lines
+    without a part and orders without a customer included."""
+    from clausewright.plans import corpus
+    from clausewright.sources import blocks as src
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumn("o_custkey", F.expr("if(o_orderkey % 50 = 7, null, o_custkey)"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumns({"l_partkey": F.expr("if(l_partkey % 9 = 1, null, l_partkey)"), "l_quantity": F.expr("if(l_suppkey % 7 = 1, null, l_quantity)")})
+    lines = lines.dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).persist()  # else the SQL leaves ties open
+    told = spark.sql(corpus.ITEMS_SQL, orders=orders, lineitem=lines)
+    shown = lambda df: sorted(map(repr, df.collect()))
+    assert shown(corpus.contract_items(spark, orders, lines)) == shown(told)
+    assert shown(corpus.contract_blocks(orders, lines)) == shown(src.canonicalise(told))
+    plan = corpus.contract_blocks(orders, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 4 and "RepartitionByExpression" in plan  # k1 twice and k2, then one for items and blocks
