@@ -82,3 +82,18 @@ def test_bootstrap_draws_the_references_rounds(spark, duck):
     whole = duck.sql(queries.ORACLES["bootstrap_ci"]).select("low", "high", "rounds").fetchall()[0]
     row = queries.QUERIES["bootstrap_ci"](spark, SF).first()
     assert row.rounds == 1000 and (row.low, row.high, row.rounds) == pytest.approx(whole)
+
+
+def test_terms_move_twice(spark):
+    """Terms are counted on their document's row: one shuffle to their df, one back, and
+    those of the dfs and the number of documents, which are summed up first."""
+    plan = queries.QUERIES["tfidf_top_terms"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(id#\d+L, term#", plan)
+    texts = ["A b. Ça ça va ça va", None, "", "one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", datasets.term_counts("text").alias("c")).collect()
+    assert {r.i: {c.term: c.tf for c in r.c} for r in rows} == {i: dict(brute_terms(t or "")) for i, t in enumerate(texts)}
+    twice = spark.createDataFrame([(1, "a1 b1"), (1, "a1"), (2, "b1")], "doc_id long, text string")
+    got = {(r.id, r.term): r.weight for r in datasets.tfidf(twice, "doc_id", datasets.term_counts("text")).collect()}
+    raw = {"a1": (1 + math.log(2)) * (math.log(3 / 2) + 1), "b1": 1.0, "a1 b1": math.log(3 / 2) + 1}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert got == pytest.approx({(1, t): v / norm for t, v in raw.items()} | {(2, "b1"): 1.0})
