@@ -109,9 +109,10 @@ def oneline(text: Column, limit: int) -> Column:
 
 def answer_samples(qa: DataFrame, per_type: int = 4, around: int = 100) -> DataFrame:
     """question, title, span, context of each question's first contracts by name that
-    answer it: the first answer, marked in the text around it."""
+    answer it: the first answer, marked in the text around it. Of answers that title,
+    place and span do not tell apart, that of the last text by name comes first."""
     told = qa.filter(F.size("answers.text") > 0).withColumns({"_span": F.get("answers.text", F.lit(0)), "_at": F.get("answers.answer_start", F.lit(0))})
-    nth = F.row_number().over(Window.partitionBy("question").orderBy("title", "_at", "_span", F.xxhash64("context")))
+    nth = F.row_number().over(Window.partitionBy("question").orderBy("title", "_at", "_span", F.desc("context")))
     kept = told.withColumn("_nth", nth).filter(F.col("_nth") <= per_type)
     first = F.greatest(F.col("_at") - around, F.lit(0))
     after = F.col("_at") + F.length("_span") + 1

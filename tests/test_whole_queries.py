@@ -97,3 +97,11 @@ def test_terms_move_twice(spark):
     raw = {"a1": (1 + math.log(2)) * (math.log(3 / 2) + 1), "b1": 1.0, "a1 b1": math.log(3 / 2) + 1}
     norm = math.sqrt(sum(v * v for v in raw.values()))
     assert got == pytest.approx({(1, t): v / norm for t, v in raw.items()} | {(2, "b1"): 1.0})
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_answer_samples_equal_sql(spark, sf):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    whole = c.sql(queries.ORACLES["answer_samples"]).select("question", "title", "span", "context").fetchall()
+    assert told(queries.QUERIES["answer_samples"](spark, f"/root/testdata/{sf}").select("question", "title", "span", "context").collect()) == told(whole)
